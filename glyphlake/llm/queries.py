@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, packing
+from glyphlake.llm import bpe, isomedia, packing, toxicity
 from glyphlake.llm.workspace import read_documents
 
 
@@ -13,9 +13,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isomedia.digests(read_documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op9_packing": op9_packing}
+QUERIES = {"op3_bpe": op3_bpe, "op4_media": op4_media, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
 ORACLE: dict[str, str] = {}
