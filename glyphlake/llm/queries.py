@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, isomedia, packing, quality, toxicity
+from glyphlake.llm import bpe, isomedia, packing, quality, rabitq, sharding, toxicity
 from glyphlake.llm.workspace import read_documents
 
 
@@ -21,6 +21,14 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.digests(read_documents(spark, sf_dir))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -29,5 +37,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_bpe": op3_bpe, "op4_media": op4_media, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
+QUERIES = {"op1_quality": op1_quality, "op3_bpe": op3_bpe, "op4_media": op4_media, "op5_ann": op5_ann, "op6_sharding": op6_sharding, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
 ORACLE: dict[str, str] = {}
