@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, isomedia, packing, quality, rabitq, sharding, toxicity
+from glyphlake.llm import bpe, isomedia, neardup, packing, quality, rabitq, sharding, toxicity
 from glyphlake.llm.workspace import read_documents
 
 
@@ -13,6 +13,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(read_documents(spark, sf_dir), shingle=4)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -37,5 +41,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_bpe": op3_bpe, "op4_media": op4_media, "op5_ann": op5_ann, "op6_sharding": op6_sharding, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_neardup": op2_neardup, "op3_bpe": op3_bpe, "op4_media": op4_media, "op5_ann": op5_ann, "op6_sharding": op6_sharding, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
 ORACLE: dict[str, str] = {}
