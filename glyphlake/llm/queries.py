@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, isomedia, neardup, packing, quality, rabitq, sharding, toxicity
+from glyphlake.llm import bpe, isomedia, neardup, packing, quality, rabitq, sharding, substrings, toxicity
 from glyphlake.llm.workspace import read_documents
 
 
@@ -33,6 +33,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_documents(spark, sf_dir))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -41,5 +45,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_neardup": op2_neardup, "op3_bpe": op3_bpe, "op4_media": op4_media, "op5_ann": op5_ann, "op6_sharding": op6_sharding, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_neardup": op2_neardup, "op3_bpe": op3_bpe, "op4_media": op4_media, "op5_ann": op5_ann, "op6_sharding": op6_sharding, "op7_substrings": op7_substrings, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
 ORACLE: dict[str, str] = {}
