@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import bpe, isomedia, neardup, packing, quality, rabitq, sharding, substrings, toxicity
+from glyphlake.llm import bpe, isomedia, licenses, neardup, packing, quality, rabitq, sharding, substrings, toxicity
 from glyphlake.llm.workspace import read_documents
 
 
@@ -45,5 +45,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_neardup": op2_neardup, "op3_bpe": op3_bpe, "op4_media": op4_media, "op5_ann": op5_ann, "op6_sharding": op6_sharding, "op7_substrings": op7_substrings, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(read_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_neardup": op2_neardup, "op3_bpe": op3_bpe, "op4_media": op4_media, "op5_ann": op5_ann, "op6_sharding": op6_sharding, "op7_substrings": op7_substrings, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 ORACLE: dict[str, str] = {}
