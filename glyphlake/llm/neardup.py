@@ -21,7 +21,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.llm.bpe import byte_slices
@@ -148,3 +148,17 @@ def group(docs: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
     named = named.withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")))
     out = named.join(groups, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
+    """docs with one row for each group: its smallest doc_id, and of rows that share it the first by hash of the text.
+
+    Rows without a doc_id all stay.
+    """
+    spark, rank = docs.sparkSession, "_rank"
+    while rank in docs.columns:
+        rank += "_"
+    first = Workspace(spark, "keep").save(group(docs, shingle, percent).where("kept and doc_id is not null").select("doc_id").distinct(), "first")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = docs.join(first, "doc_id", "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return one.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)

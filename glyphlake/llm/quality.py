@@ -20,12 +20,12 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm.bpe import byte_slices
@@ -239,24 +239,23 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: int
     return model
 
 
-def probabilities(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column of quality probabilities; all other columns pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = docs.columns.index("text")
+def probability_of(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A column function from texts to quality probabilities; only the text travels to Python."""
+    shared = spark.sparkContext.broadcast(model)  # of the fixed size that ROWS and DIMENSIONS give
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache, index = TokenRows(), unit_index()
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            for part in byte_slices(texts, SLICE):
-                found = shared.value.probabilities(pool([t or "" for t in texts[part]], cache, shared.value.context, index))
-                yield pa.record_batch([*(c[part] for c in batch.columns), pa.array(found, pa.float64())], names=[*batch.schema.names, name])
+        for column in batches:
+            texts = column.to_pylist()
+            found = [shared.value.probabilities(pool([t or "" for t in texts[part]], cache, shared.value.context, index)) for part in byte_slices(texts, SLICE)]
+            yield pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double")
+    return run
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels)
-    scored = probabilities(docs.select("doc_id", "text"), model)
+    scored = docs.select("doc_id", probability_of(docs.sparkSession, model)(F.col("text")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

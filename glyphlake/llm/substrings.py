@@ -26,8 +26,9 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphlake.llm.bpe import byte_slices
 from glyphlake.llm.superminhash import WordHashes, mix
@@ -228,8 +229,8 @@ def locate(found: DataFrame, work: Workspace) -> DataFrame:
 
 
 def spans(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
-    """(k1, k2, spans): the parts, in words, that go from each row of docs that has any; k1 and k2 are as row_keys gives them."""
-    rows = row_keys(docs)
+    """(k1, k2, spans): the parts, in words, that go from each row of docs that has any; k1 and k2 are as key_columns gives them."""
+    rows = docs.withColumns(dict(zip(("k1", "k2"), key_columns())))
     runs = work.save(anchors(rows, window), "anchors")
     again = runs.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor")
     marks = runs.join(again, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "n")).alias("marks"))
@@ -255,9 +256,16 @@ def spans(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     return out
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """docs with 128 bits that tell rows of different id or text apart."""
-    return docs.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text", "doc_id")})
+def key_columns() -> tuple[Column, Column]:
+    """128 bits that tell rows of different id or text apart."""
+    return F.xxhash64("text"), F.xxhash64(F.lit(1), "text", "doc_id")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def keep(words: list[bytes], gone: list[dict] | None) -> list[bytes]:
@@ -270,29 +278,31 @@ def keep(words: list[bytes], gone: list[dict] | None) -> list[bytes]:
     return [words[k] for k in np.flatnonzero(stay)]
 
 
-def kept_texts(docs: DataFrame, window: int = 35) -> DataFrame:
-    """All columns of docs, the text being the kept words joined by spaces, with n_words and n_removed."""
-    work = Workspace(docs.sparkSession, "substrings")
-    joined = row_keys(docs).join(spans(docs.select("doc_id", "text"), window, work), ["k1", "k2"], "left").drop("k1", "k2")
-    text_at, spans_at = joined.columns.index("text"), joined.columns.index("spans")
+_KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, total, removed = [], [], []
-            for t, gone in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist()):
-                words = words_of(t)
-                stay = keep(words, gone)
-                text.append(b" ".join(stay).decode())
-                total.append(len(words))
-                removed.append(len(words) - len(stay))
-            columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != "spans"} | {"text": pa.array(text, pa.string())}
-            yield pa.record_batch([*columns.values(), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_words", "n_removed"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in joined.dtypes if c != "spans")
-    return joined.mapInArrow(run, f"{fields}, n_words long, n_removed long")
+@F.arrow_udf(_KEPT)
+def _keep(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    text, total, removed = [], [], []
+    for t, s in zip(texts.to_pylist(), gone.to_pylist()):
+        words = words_of(t)
+        stay = keep(words, s)
+        text.append(b" ".join(stay).decode())
+        total.append(len(words))
+        removed.append(len(words) - len(stay))
+    return pa.StructArray.from_arrays([pa.array(text, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["text", "n_words", "n_removed"])
+
+
+def kept(docs: DataFrame, name: str, window: int = 35) -> DataFrame:
+    """docs with a struct column (text, n_words, n_removed): the kept words joined by spaces, and counts."""
+    work = Workspace(docs.sparkSession, "substrings")
+    k1, k2, gone = (unused(docs, c) for c in ("k1", "k2", "spans"))
+    found = spans(docs.select("doc_id", "text"), window, work).toDF(k1, k2, gone)
+    keyed = docs.withColumns(dict(zip((k1, k2), key_columns())))
+    return keyed.join(found, [k1, k2], "left").withColumn(name, _keep(F.col("text"), F.col(gone))).drop(k1, k2, gone)
 
 
 def digests(docs: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    kept = kept_texts(docs.select("doc_id", "text"), window)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    found = kept(docs.select("doc_id", "text"), "kept", window)
+    return found.select("doc_id", "kept.n_words", "kept.n_removed", F.sha2(F.encode("kept.text", "UTF-8"), 256).alias("kept_sha256"))

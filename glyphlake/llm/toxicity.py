@@ -20,12 +20,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.llm.labelled import held_out, training_sample
@@ -254,24 +254,22 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, begin long, end long, score double, evidence double")
 
 
-def probabilities(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with a column of toxicity probabilities; all other columns pass through."""
-    kinds = dict(docs.dtypes)
-    text_at = docs.columns.index("text")
+def probability_of(model: Model) -> Callable[[Column], Column]:
+    """A column function from texts to toxicity probabilities; only the text travels to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = Scores(model.weight)
-        for batch in batches:
+        for texts in batches:
             if len(scores) > CACHE_TOKENS:
                 scores.clear()
-            found = [model.probability(model.evidence(*model.segments(t or "", scores))) for t in batch.column(text_at).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
+            yield pa.array([model.probability(model.evidence(*model.segments(t or "", scores))) for t in texts.to_pylist()], pa.float64())
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{name}` double")
+    return run
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels)
-    scored = probabilities(docs.select("doc_id", "text"), model)
+    scored = docs.select("doc_id", probability_of(model)(F.col("text")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
