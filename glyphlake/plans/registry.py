@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from glyphlake.plans import documents
+
+QUERIES: dict = {**documents.QUERIES}
+ORACLE: dict = {**documents.ORACLE}
