@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphlake.plans import documents
+from glyphlake.plans import documents, sequences
 
-QUERIES: dict = {**documents.QUERIES}
-ORACLE: dict = {**documents.ORACLE}
+QUERIES: dict = {**documents.QUERIES, **sequences.QUERIES}
+ORACLE: dict = {**documents.ORACLE, **sequences.ORACLE}

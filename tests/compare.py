@@ -19,9 +19,19 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def _plain(value):
+    if value is None or value is pd.NA or value is pd.NaT:
+        return None
+    value = value.item() if hasattr(value, "item") else value
+    if isinstance(value, float):
+        return None if value != value else round(value, 6)
+    return value
+
+
 def normal(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)]
-    rows = [tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else str(v) if not isinstance(v, (int, str)) and not hasattr(v, "item") else v.item() if hasattr(v, "item") else v for v in row) for row in frame.astype(object).itertuples(index=False)]
+    """Rows with columns in order of name; whole floats (integers that met a null) count as integers."""
+    columns = [[_plain(v) for v in frame[c].astype(object)] for c in sorted(frame.columns)]
+    rows = [tuple(int(v) if isinstance(v, float) and v == int(v) else v for v in row) for row in zip(*columns)]
     return sorted(rows, key=repr)
 
 
