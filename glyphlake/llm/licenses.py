@@ -6,7 +6,7 @@ template as raw dictionary; the template that takes the most off the size is the
 exact word differences between block and template: few enough, or nothing but placeholders filled in.
 
 Defined results: null and empty texts have no blocks; texts of any length are scanned whole; of overlapping confirmed blocks
-one without differences stays, then the longer, the one with the larger reduction, the earlier, the first by name; repeated rows repeat.
+one without a wrong word stays, then the longer, the one with the larger reduction, the earlier, the first by name; repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -51,6 +51,11 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
+def folded(text: str) -> bytes:
+    """A text as it is compressed: in lower case with single spaces, so that only the wording counts."""
+    return " ".join(text.lower().split()).encode()
+
+
 def differences(template: list[str], block: list[str]) -> list[tuple[str, str, str]]:
     """(operation, words of the template, words of the block) wherever the wording is not the template's."""
     match = difflib.SequenceMatcher(None, template, block, autojunk=False)
@@ -70,7 +75,7 @@ class Scanner:
         self.first_words = {gram[0] for gram in self.index}
         options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
-        self.given = {name: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.encode() * max(1, -(-8 // len(text.encode()))), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for name, text in sorted(templates.items()) if text}
+        self.given = {name: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(folded(text).ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for name, text in sorted(templates.items())}
         self.cue = re.compile("|".join(sorted(map(re.escape, {g[1] for g in self.index}), key=len, reverse=True)), re.IGNORECASE) if self.index else None
 
     def candidates(self, words: list[str]) -> list[tuple[int, int]]:
@@ -80,13 +85,20 @@ class Scanner:
             if word in self.first_words:
                 for name, at in self.index.get(tuple(words[k : k + GRAM]), ()):
                     own = self.words[name]
+                    begin, end = max(0, k - at), min(len(words), k - at + len(own))
                     more = HOLDER_WORDS * own.count(HOLDER)
-                    blocks.add((max(0, k - at - (more if HOLDER in own[:at] else 0)), min(len(words), k - at + len(own) + (0 if HOLDER in own[:at] else more))))
+                    if HOLDER in own[:at]:  # the notice starts further left, at the template's first word
+                        early = max(0, begin - more)
+                        begin = next((j for j in range(k - 1, early - 1, -1) if words[j] == own[0]), begin)
+                    elif more:
+                        late = min(len(words), end + more)
+                        end = next((j + 1 for j in range(k + GRAM, late) if words[j] == own[-1]), end)
+                    blocks.add((begin, end))
         return sorted(blocks)
 
-    def judge(self, block: str) -> tuple[str, float, list[tuple[str, str, str]]] | None:
-        """The confirmed template of a block, its size reduction and the differences; None without one."""
-        raw = block.encode()
+    def judge(self, block: str) -> tuple[str, float, int, list[tuple[str, str, str]]] | None:
+        """The confirmed template of a block, its size reduction, how many words are wrong, and the differences; None without one."""
+        raw = folded(block)
         size = len(self.alone.compress(raw))
         ranked = sorted(((1 - len(c.compress(raw)) / size, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
         words = [w for w, _, _ in words_of(block)]
@@ -96,7 +108,7 @@ class Scanner:
             found = differences(self.words[name], words)
             missing = sum(max(len(a.split()) - a.split().count(HOLDER), 0 if HOLDER in a.split() else len(b.split())) for _, a, b in found)
             if missing <= MOST_DIFFERENT * len(self.words[name]):
-                return name, reduction, found
+                return name, reduction, missing, found
         return None
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
@@ -110,9 +122,9 @@ class Scanner:
             start, stop = words[begin][1], words[end - 1][2]
             judged = self.judge(text[start:stop])
             if judged:
-                found.append({"license": judged[0], "start": start, "stop": stop, "reduction": judged[1], "differences": [{"op": o, "template": a, "found": b} for o, a, b in judged[2]]})
+                found.append({"license": judged[0], "start": start, "stop": stop, "reduction": judged[1], "wrong": judged[2], "differences": [{"op": o, "template": a, "found": b} for o, a, b in judged[3]]})
         kept: list[dict] = []
-        for notice in sorted(found, key=lambda n: (len(n["differences"]) > 0, -(n["stop"] - n["start"]), -n["reduction"], n["start"], n["license"])):
+        for notice in sorted(found, key=lambda n: (n.pop("wrong") > 0, -(n["stop"] - n["start"]), -n["reduction"], n["start"], n["license"])):
             if all(notice["stop"] <= k["start"] or notice["start"] >= k["stop"] for k in kept):
                 kept.append(notice)
         return len(blocks), sorted(kept, key=lambda n: n["start"])
