@@ -149,7 +149,7 @@ def decode_glyphs(glyphs: DataFrame, seed: DataFrame) -> DataFrame:
     spaced = Window.partitionBy(*by).orderBy("pos")
     gap = F.coalesce(F.lag("x0").over(spaced) - F.col("x1") > GID_WORD_GAP, F.lit(False)) & ~C.combining(F.col("text"))
     shown = F.coalesce("text", F.concat(F.lit("["), F.col("key"), F.lit("]")))
-    pieces = rows.withColumn("piece", F.explode(F.when(gap, F.array(F.struct(F.lit(0).alias("k"), F.lit(" ").alias("t")), F.struct(F.lit(1).alias("k"), shown.alias("t")))).otherwise(F.array(F.struct(F.lit(1).alias("k"), shown.alias("t"))))))
+    pieces = rows.withColumn("gap", gap).withColumn("piece", F.explode(F.when(F.col("gap"), F.array(F.struct(F.lit(0).alias("k"), F.lit(" ").alias("t")), F.struct(F.lit(1).alias("k"), shown.alias("t")))).otherwise(F.array(F.struct(F.lit(1).alias("k"), shown.alias("t"))))))
     pieces = pieces.select(*by, (F.col("pos") * 2 + F.col("piece.k")).alias("pos"), "x0", "x1", F.col("piece.t").alias("text"))
     return _joined(with_marks(pieces, by, layout.between_centres), by, ["pos"], "text", "line")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +60,8 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
 def binaries(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """(path, size_mb, md5, content) of all files below a folder whose names match, path relative to it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    relative = F.substring_index("path", folder.rstrip("/").split(":")[-1] + "/", -1)
+    root = "/" + re.sub(r"^\w+:", "", folder).strip("/") + "/"
+    relative = F.substring_index("path", root, -1)
     return found.select(relative.alias("path"), F.round(F.col("length") / 1e6, 2).alias("size_mb"), F.md5("content").alias("md5"), "content")
 
 
