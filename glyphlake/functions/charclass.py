@@ -6,6 +6,8 @@ Ranges are Java regular expressions. The manifest's, the extractor's and the gly
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,10 +94,16 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def english_hits(text: Column, words: tuple[str, ...] = ENGLISH_WORDS) -> Column:
     """How many of the function words occur in the text in lower case with white space collapsed."""
     flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), f"[{SPACE}]+", " "), F.lit(" "))
-    return F.coalesce(sum((F.contains(flat, F.lit(w)).cast("int") for w in words), F.lit(0)), F.lit(0))
+    hits = bind(flat, lambda t: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)))
+    return F.coalesce(hits, F.lit(0))
 
 
 def nastaliq_font(fonts: Column) -> Column:

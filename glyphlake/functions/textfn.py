@@ -15,8 +15,12 @@ SKIPPED_LINE = r"(?i)^\[(illustration|photo|blank|badge|footer|stamp|handwritten
 DEVANAGARI_CLASS = r"[\x{0900}-\x{097F}\x{097D}\x{093D}\x{0964}\x{0965}]"
 
 
+# Fixed value: the characters that Python's strip() takes off.
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(STRIPPED))
 
 
 def lines(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions import charclass as C
+from glyphlake.functions.textfn import strip
 from glyphlake.functions.udfs import nfkc
 from glyphlake.operators import layout
 
@@ -156,8 +157,7 @@ def decode_glyphs(glyphs: DataFrame, seed: DataFrame) -> DataFrame:
 
 def page_text(decoded: DataFrame) -> DataFrame:
     """(page, text): the lines of a page that are not blank, stripped, one below the other."""
-    line = F.regexp_replace("line", f"^[{C.SPACE}]+|[{C.SPACE}]+$", "")
-    return _joined(decoded.withColumn("line", line).where("line <> ''"), ["page"], ["row_id"], "line", "text", "\n")
+    return _joined(decoded.withColumn("line", strip(F.col("line"))).where("line <> ''"), ["page"], ["row_id"], "line", "text", "\n")
 
 
 def harvest(glyphs: DataFrame, key: str, value: str, page: str) -> DataFrame:

@@ -14,20 +14,25 @@ def classify(counts: dict[str, Column], fonts: Column, english: Column) -> Colum
 
     counts has total_chars, arabic_chars, devanagari_chars, pua_chars, replacement_chars and garbage_chars.
     """
-    total, arabic, devanagari, pua, replaced, garbage = (counts[f"{k}_chars"] for k in ("total", "arabic", "devanagari", "pua", "replacement", "garbage"))
     typeset = F.coalesce(F.exists(fonts, lambda f: C.contains_any(F.lower(f), ("urdutypesetting", "arabictypesetting"))), F.lit(False))
-    flag = english.cast("int")
+    facts = {k: counts[f"{k}_chars"] for k in ("total", "arabic", "devanagari", "pua", "replacement", "garbage")}
+    facts |= {"typeset": typeset, "nastaliq": C.nastaliq_font(fonts), "english": english}
+    return C.bind(F.struct(*(c.alias(n) for n, c in facts.items())), _category)
+
+
+def _category(facts: Column) -> Column:
+    flag = facts["english"].cast("int")
 
     def made(category: str, scheme: str, script: str, likely: Column) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(scheme).alias("encoding_scheme"), F.lit(script).alias("script_found"), likely.alias("likely_english"))
 
     return (
-        F.when(total < 30, made("image_only", "none", "none", F.lit(0)))
-        .when(typeset & (pua < 20) & ((garbage > 40) | (replaced > 40)), made("bad_text", "broken_tounicode", "legacy_encoded", flag))
-        .when((arabic > 20) & (arabic >= pua), made("good_text", "clean_unicode", "perso_arabic", flag))
-        .when(devanagari > 20, made("good_text", "clean_unicode", "devanagari", flag))
-        .when(pua > 20, made("bad_text", "pua", "legacy_encoded", flag))
-        .when(english & ~C.nastaliq_font(fonts), made("english_prose", "clean_unicode", "latin", F.lit(1)))
+        F.when(facts["total"] < 30, made("image_only", "none", "none", F.lit(0)))
+        .when(facts["typeset"] & (facts["pua"] < 20) & ((facts["garbage"] > 40) | (facts["replacement"] > 40)), made("bad_text", "broken_tounicode", "legacy_encoded", flag))
+        .when((facts["arabic"] > 20) & (facts["arabic"] >= facts["pua"]), made("good_text", "clean_unicode", "perso_arabic", flag))
+        .when(facts["devanagari"] > 20, made("good_text", "clean_unicode", "devanagari", flag))
+        .when(facts["pua"] > 20, made("bad_text", "pua", "legacy_encoded", flag))
+        .when(facts["english"] & ~facts["nastaliq"], made("english_prose", "clean_unicode", "latin", F.lit(1)))
         .otherwise(made("bad_text", "legacy_8bit", "legacy_encoded", flag))
     )
 
