@@ -87,12 +87,24 @@ def duplicate_totals(groups: DataFrame, pages: str) -> DataFrame:
 
 
 def summary(manifest: DataFrame) -> DataFrame:
-    """(block, key, files, pages): totals by category and tier over primaries in scope, by scheme over those needing OCR, out of scope apart."""
+    """(block, key, files, pages): the totals of an inventory, each block with its own filter, in one scan.
+
+    Primaries by category and by encoding scheme; primaries in scope by script (the Latin one apart) and tier, and those
+    that need OCR or are parallel sources; everything; and all rows out of scope by category.
+    """
     primary = F.col("is_primary") == 1
     scoped = primary & (F.col("in_scope") == 1)
-    blocks = {"category": (primary, "category"), "script": (scoped, "script_found"), "scheme": (scoped & (needs_ocr(F.col("category")) == 1), "encoding_scheme"), "tier": (scoped, "tier"), "out_of_scope": (primary & (F.col("in_scope") == 0), "category")}
-    rows = F.filter(F.array(*(F.when(keep, F.struct(F.lit(name).alias("block"), F.col(key).cast("string").alias("key"))) for name, (keep, key) in blocks.items())), lambda x: x.isNotNull())
-    # One scan: each row counts in every block whose filter it passes.
+    blocks = (
+        ("all", F.lit(True), F.lit("all")),
+        ("category", primary, F.col("category")),
+        ("script", scoped & (F.col("script_found") != "latin"), F.col("script_found")),
+        ("scheme", primary, F.col("encoding_scheme")),
+        ("needs_ocr", scoped & (needs_ocr(F.col("category")) == 1), F.lit("all")),
+        ("parallel", scoped & (F.col("parallel_source") == 1), F.lit("all")),
+        ("tier", scoped, F.col("tier").cast("string")),
+        ("out_of_scope", F.col("in_scope") == 0, F.col("category")),
+    )
+    rows = F.filter(F.array(*(F.when(keep, F.struct(F.lit(name).alias("block"), key.alias("key"))) for name, keep, key in blocks)), lambda x: x.isNotNull())
     return manifest.select("pages", F.inline(rows)).groupBy("block", "key").agg(F.count("*").alias("files"), F.sum("pages").alias("pages"))
 
 

@@ -114,10 +114,11 @@ def triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIAGE_SUMMARY = (
     CLASSIFIED
-    + """, q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY length(path), path, doc_id) AS rn FROM t) WHERE rn = 1),
-  b AS (SELECT 'category' AS block, category AS key, pages FROM q UNION ALL SELECT 'script', script_found, pages FROM q WHERE in_scope = 1
-    UNION ALL SELECT 'scheme', encoding_scheme, pages FROM q WHERE in_scope = 1 AND category IN ('bad_text', 'image_only')
-    UNION ALL SELECT 'tier', tier::VARCHAR, pages FROM q WHERE in_scope = 1 UNION ALL SELECT 'out_of_scope', category, pages FROM q WHERE in_scope = 0)
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY length(path), path, doc_id) AS rn FROM t), q AS (SELECT * FROM r WHERE rn = 1),
+  b AS (SELECT 'all' AS block, 'all' AS key, pages FROM r UNION ALL SELECT 'category', category, pages FROM q UNION ALL SELECT 'script', script_found, pages FROM q WHERE in_scope = 1 AND script_found <> 'latin'
+    UNION ALL SELECT 'scheme', encoding_scheme, pages FROM q UNION ALL SELECT 'needs_ocr', 'all', pages FROM q WHERE in_scope = 1 AND category IN ('bad_text', 'image_only')
+    UNION ALL SELECT 'parallel', 'all', pages FROM q WHERE in_scope = 1 AND parallel_source = 1
+    UNION ALL SELECT 'tier', tier::VARCHAR, pages FROM q WHERE in_scope = 1 UNION ALL SELECT 'out_of_scope', category, pages FROM r WHERE in_scope = 0)
   SELECT block, key, count(*) AS files, sum(pages)::BIGINT AS pages FROM b GROUP BY block, key"""
 )
 
