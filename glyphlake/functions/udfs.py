@@ -112,3 +112,34 @@ def call_model(batches: DataFrame, model: Callable[[str], str], tries: int = 4,
             yield pd.DataFrame({"batch": frame["batch"], "answer": answers})
 
     return batches.select("batch", "prompt").mapInPandas(run, "batch long, answer string")
+
+
+def call_image_model(images: DataFrame, model: Callable[[str, bytes], dict], tries: int = 1, wait: float = 5.0) -> DataFrame:
+    """(id, text, input_tokens, output_tokens, stop_reason): what a model reads in each image (id, prompt, image)."""
+    fields = "id string, text string, input_tokens int, output_tokens int, stop_reason string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for at, prompt, image in zip(frame["id"], frame["prompt"], frame["image"]):
+                for turn in range(1, tries + 1):
+                    try:
+                        rows.append({"id": at} | model(prompt, image))
+                        break
+                    except Exception:
+                        if turn == tries:
+                            raise
+                        time.sleep(wait * turn)
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
+
+    return images.select("id", "prompt", "image").mapInPandas(run, fields)
+
+
+def transliterator(convert: Callable[[str], str]):
+    """A column function from any transliteration library's function, called in Arrow batches; null and "" stay."""
+
+    @F.arrow_udf(T.StringType())
+    def run(words: pa.Array) -> pa.Array:
+        return pa.array([w if not w else convert(w) for w in words.to_pylist()], pa.string())
+
+    return run
