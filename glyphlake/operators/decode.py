@@ -1,4 +1,7 @@
-"""Font decode tables applied to positioned glyphs, and censuses of their keys. Windows and small joins, no row code."""
+"""Font decode tables applied to positioned glyphs, and censuses of their keys. Windows and joins, no row code.
+
+Joins with decode tables carry no hint: Spark broadcasts a table that it knows to be small and shuffles any other.
+"""
 
 from __future__ import annotations
 
@@ -77,7 +80,7 @@ def decode_private(glyphs: DataFrame, seed: DataFrame, wrap: bool = False) -> Da
     other = _joined(runs.where(~F.col("private")), ["page", "row_id", "run_id"], ["x0", "seq"], "ch", "part")
 
     by = ["page", "row_id", "run_id"]
-    codes = mapped(runs.where("private").withColumn("code", C.hex_key(F.col("cp"))), F.broadcast(seed), "code")
+    codes = mapped(runs.where("private").withColumn("code", C.hex_key(F.col("cp"))), seed, "code")
     codes = codes.withColumn("base", F.coalesce("mapped", F.concat(F.lit("["), F.col("code"), F.lit("]"))))
     right_to_left = Window.partitionBy(*by).orderBy(F.desc("x0"), "seq")
     skip = (F.col("base") == "") | C.combining(F.coalesce("mapped", F.lit("")))
@@ -135,7 +138,7 @@ def decode_glyphs(glyphs: DataFrame, seed: DataFrame) -> DataFrame:
     name it. Gaps become spaces, except before a combining mark; marks join the nearest centre, spaces included.
     """
     keyed = glyphs.withColumns({"key": C.glyph_key(F.col("font"), F.col("gid")), "seq": F.row_number().over(Window.partitionBy("page").orderBy("y0", F.desc("x0"), "gid"))})
-    rows = layout.by_gaps(mapped(keyed, F.broadcast(seed), "key"), ["page"], "y0", GID_ROW_GAP, ties=("seq",))
+    rows = layout.by_gaps(mapped(keyed, seed, "key"), ["page"], "y0", GID_ROW_GAP, ties=("seq",))
     by = ["page", "row_id"]
     order = Window.partitionBy(*by).orderBy(F.desc("x0"), "seq")
     rows = rows.withColumns({"pos": F.row_number().over(order), "composed": nfkc(char_of(F.col("ucs"))), "kept": C.kept_font(F.col("font"))})

@@ -53,7 +53,7 @@ def verification(rows: DataFrame, refined: DataFrame, pages: DataFrame, n: int)
     A page asked for twice gives its rows twice.
     """
     good = refined.where(F.coalesce("nastaliq_pass2", F.lit("")) != "").select("entry_id", F.col("nastaliq_pass2").alias("_pass2")).dropDuplicates(["entry_id"])
-    asked = rows.join(F.broadcast(pages), "page").orderBy("ord", "line").limit(n)
+    asked = rows.join(pages, "page").orderBy("ord", "line").limit(n)
     joined = asked.drop("nastaliq_pass2").join(good, "entry_id", "left")
     value = F.coalesce("_pass2", "nastaliq_pass1")
     return joined.withColumns({"nastaliq_pass2": F.coalesce("_pass2", F.lit("")), "nastaliq_verified": value, "verify_status": F.lit(""), "verify_notes": F.lit("")}).drop("_pass2")

@@ -78,7 +78,7 @@ def glyph_census(glyphs: DataFrame, seed: DataFrame) -> dict[str, DataFrame]:
 def crop_boxes(glyphs: DataFrame, unknown: DataFrame, width: float, height: float, top: int, pad: float = 4.0) -> DataFrame:
     """(key, n, sample, page, box): up to three padded places of each of the `top` commonest unknown keys; the report's limits."""
     keyed = glyphs.withColumn("key", C.glyph_key(F.col("font"), F.col("gid")))
-    chosen = F.broadcast(unknown.orderBy(F.desc("n"), "first_seen").limit(top).select("key", "n"))
+    chosen = F.broadcast(unknown.orderBy(F.desc("n"), "first_seen").limit(top).select("key", "n"))  # at most `top` rows
     rank = F.row_number().over(Window.partitionBy("key").orderBy("page", "y0", F.desc("x0")))
     rows = keyed.join(chosen, "key").withColumn("sample", rank).where("sample <= 3")
     return rows.select("key", "n", "sample", "page", layout.clamp_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.lit(width), F.lit(height), pad).alias("box"))

@@ -151,7 +151,7 @@ CODES_BY_PAGE = f"WITH {CHARS}, {SEED_SQL}, k AS (SELECT DISTINCT source, printf
 
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters of a document as the table decodes them, unknown ones as [CODE]."""
-    joined = decode.mapped(_codes(spark, sf_dir), F.broadcast(spark.createDataFrame(SEED, "code string, text string")), "code")
+    joined = decode.mapped(_codes(spark, sf_dir), spark.createDataFrame(SEED, "code string, text string"), "code")
     shown = joined.withColumn("shown", F.coalesce("mapped", F.concat(F.lit("["), F.col("code"), F.lit("]"))))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"])
     return shown.groupBy("doc_id").agg(F.md5(F.array_join(ordered, "")).alias("decoded"), F.count("*").alias("letters"))
