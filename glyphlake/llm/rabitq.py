@@ -87,7 +87,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return embeddings.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
 
 
 def search(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
