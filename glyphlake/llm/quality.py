@@ -6,7 +6,7 @@ index vectors next to its occurrences, over the whole corpus. The sums are made
 the model's size is fixed by its parameters and not by the corpus.
 
 Pooling. A document is the mean of its tokens' normalised context vectors, the mean of their index vectors, the
-squared length of the latter and the agreement of neighbouring index vectors (which show repetition), and its length.
+squared length of the latter and the share of tokens that repeat the one before (which show repetition), and its length.
 
 A network with one hidden layer is fitted in numpy on a bounded sample of labelled rows, and a temperature and
 an offset fitted on rows that the network has not seen turn its output into calibrated probabilities.
@@ -32,7 +32,7 @@ from glyphlake.llm.bpe import byte_slices
 from glyphlake.llm.labelled import held_out, training_sample
 
 ROWS = 1 << 14
-DIMENSIONS = 48
+DIMENSIONS = 32
 NONZERO = 4
 WINDOW = 2
 LABELLED_ROWS = 20_000
@@ -90,13 +90,14 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     """The context vector of every row over all of docs: a matrix of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
+        places, signs = (np.ascontiguousarray(x.T) for x in index_vectors())
+        signs = signs.astype(np.float64)
         cache = TokenRows()
         total = np.zeros(ROWS * DIMENSIONS)
 
         def add(near: np.ndarray, far: np.ndarray) -> None:
             for k in range(NONZERO):
-                np.add.at(total, near * DIMENSIONS + places[far, k], signs[far, k].astype(np.float64))
+                np.add.at(total, near * DIMENSIONS + places[k][far], signs[k][far])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -125,23 +126,22 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.where(length > 0, length, 1)).astype(np.float32)
 
 
-def pool(texts: list[str], cache: TokenRows, context: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """One row of features per text."""
+def pool(texts: list[str], cache: TokenRows, table: np.ndarray) -> np.ndarray:
+    """One row of features per text. table has the context and index vectors of each row side by side."""
     words, shapes, n = _token_rows(texts, cache)
-    starts = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
-    size = np.maximum(n, 1)[:, None].astype(np.float32)
-
-    def mean(rows: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(rows, starts, axis=0) / size if len(texts) else rows[:0]
-
-    vectors = index[words]
-    ahead = [np.einsum("ij,ij->i", vectors[:-lag], vectors[lag:]) if len(vectors) > lag else np.zeros(0, np.float32) for lag in (1, 2, 3)]
-    near = np.stack([np.concatenate((a, np.zeros(min(lag, len(vectors)), np.float32))) for lag, a in zip((1, 2, 3), ahead)], axis=1)
-    means = mean(vectors)
-    return np.concatenate(
-        [mean(context[words]), mean(context[shapes]), means, mean(index[shapes]), (means**2).sum(axis=1, keepdims=True), mean(near), np.log1p(n)[:, None].astype(np.float32), (n == 0)[:, None].astype(np.float32)],
-        axis=1,
-    )
+    half = table.shape[1] // 2
+    out = np.zeros((len(texts), 2 * table.shape[1] + 4), dtype=np.float32)
+    ends = np.cumsum(n + 1) - 1
+    for k, (begin, end) in enumerate(zip((ends - n).tolist(), ends.tolist())):
+        if begin == end:
+            out[k, -1] = 1
+            continue
+        w = words[begin:end]
+        means = table[w].mean(axis=0)
+        out[k, : table.shape[1]] = means
+        out[k, table.shape[1] : -4] = table[shapes[begin:end]].mean(axis=0)
+        out[k, -4:-1] = (means[half:] ** 2).sum(), np.count_nonzero(w[1:] == w[:-1]) / (end - begin), math.log1p(end - begin)
+    return out
 
 
 @dataclass
@@ -210,16 +210,16 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: int = LABELLED_ROWS) -> Model:
     """Context vectors from all of docs; the network from at most `bound` labelled rows."""
     context = context_vectors(docs)
-    width = 4 * DIMENSIONS + 6
+    width = 4 * DIMENSIONS + 4
     blank = Model(context, np.zeros(width), np.ones(width), [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.array(0.0)])
-    shared = docs.sparkSession.sparkContext.broadcast(context)
+    shared = docs.sparkSession.sparkContext.broadcast(np.concatenate((context, unit_index()), axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, index = TokenRows(), unit_index()
+        cache = TokenRows()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for part in byte_slices(texts, SLICE):
-                x = pool([t or "" for t in texts[part]], cache, shared.value, index)
+                x = pool([t or "" for t in texts[part]], cache, shared.value)
                 yield pa.record_batch([*(batch.column(k)[part] for k in (1, 2)), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["label", "calibrate", "x"])
 
     labelled = docs.select("doc_id", "text").join(F.broadcast(training_sample(labels, column, bound)), "doc_id").select("text", "label", "calibrate")
@@ -245,10 +245,10 @@ def probability_of(spark: SparkSession, model: Model) -> Callable[[Column], Colu
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache, index = TokenRows(), unit_index()
+        cache, table = TokenRows(), np.concatenate((shared.value.context, unit_index()), axis=1)
         for column in batches:
             texts = column.to_pylist()
-            found = [shared.value.probabilities(pool([t or "" for t in texts[part]], cache, shared.value.context, index)) for part in byte_slices(texts, SLICE)]
+            found = [shared.value.probabilities(pool([t or "" for t in texts[part]], cache, table)) for part in byte_slices(texts, SLICE)]
             yield pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())
 
     return run
