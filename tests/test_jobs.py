@@ -49,9 +49,9 @@ def test_glyph_census(spark):
 
 
 def test_lexicon_passes(spark):
-    pages = spark.createDataFrame([(1, "गोजरी (gojri) nm: language\nपानी water"), (2, "घर (ghar) nm: house")], "page int, text string")
+    pages = spark.createDataFrame([(1, "भाषा (bhasha) nm: language\nपानी water"), (2, "घर (ghar) nm: house")], "page int, text string")
     first = jobs.lexicon_pass1(pages, lambda w: w[::-1])
-    assert {r["devanagari"]: r["nastaliq_pass1"] for r in first.collect()} == {"गोजरी": "गोजरी"[::-1], "पानी": "पानी"[::-1], "घर": "घर"[::-1]}
+    assert {r["devanagari"]: r["nastaliq_pass1"] for r in first.collect()} == {"भाषा": "भाषा"[::-1], "पानी": "पानी"[::-1], "घर": "घर"[::-1]}
 
     def model(prompt):
         asked = json.loads(prompt.removeprefix("Q: "))

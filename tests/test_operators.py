@@ -136,9 +136,9 @@ def test_global_index_is_gapless(spark):
 
 
 def test_headword_lines(spark):
-    text = "[12]\nओ\nअ / a\nगोजरी (gojri) nm: language\n  पानी  water\nLatin only\nशब्द 12 x\nदो शब्द (do shabd)\n\n"
+    text = "[12]\nओ\nअ / a\nभाषा (bhasha) nm: language\n  पानी  water\nLatin only\nशब्द 12 x\nदो शब्द (do shabd)\n\n"
     found = lexicon.parse_lines(spark.createDataFrame([(7, text)], "page int, text string")).orderBy("line").collect()
-    assert [(r["entry_id"], r["devanagari"], r["roman"]) for r in found] == [("p0007:L4", "गोजरी", "gojri"), ("p0007:L5", "पानी", ""), ("p0007:L8", "दो शब्द", "do shabd")]
+    assert [(r["entry_id"], r["devanagari"], r["roman"]) for r in found] == [("p0007:L4", "भाषा", "bhasha"), ("p0007:L5", "पानी", ""), ("p0007:L8", "दो शब्द", "do shabd")]
 
 
 def test_results_and_verification(spark):
