@@ -2,8 +2,8 @@
 
 A window is a run of `window` consecutive words. A word goes if a window covers it whose words also start anywhere else.
 
-1. Anchors. The anchor of a window is the least hash among its runs of 16 words, so equal windows have equal anchors, and
-   about one anchor comes for every ten words. Anchors are counted over all documents; only windows whose anchor recurs can recur.
+1. Anchors. The anchor of a window is the least hash among its runs of 8 words, so equal windows have equal anchors, and
+   about one anchor comes for every fourteen words. Anchors are counted over all documents; only windows whose anchor recurs can recur.
 2. Confirmation. Documents with recurring anchors give up the regions around them; hashes of whole windows are counted there.
    Maximal runs of recurring windows are the passages.
 3. Location. Distinct passages are dealt over shards of bounded text, each compiled into one automaton; the regions
@@ -20,7 +20,6 @@ whole; repeated rows are occurrences of each other; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,7 +33,7 @@ from glyphlake.llm.bpe import byte_slices
 from glyphlake.llm.superminhash import WordHashes, mix
 from glyphlake.llm.workspace import Workspace
 
-GRAM = 16
+GRAM = 8
 SHARD_CHARACTERS = 1_500_000
 SLICE_CHARACTERS = 8_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -61,7 +60,7 @@ def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def window_anchors(grams: np.ndarray, window: int) -> np.ndarray:
-    """The anchor of every window: the least of the hashes of the runs of 16 words inside."""
+    """The anchor of every window: the least of the hashes of the runs of 8 words inside."""
     least = grams
     span, size = window - GRAM + 1, 1
     while size * 2 <= span:
@@ -197,8 +196,11 @@ def covered(machine: ahocorasick.Automaton, region: str) -> list[tuple[int, int]
         if spans and begin < spans[-1][1]:
             begin = spans.pop()[0]
         spans.append((begin, last))
-    spaces = [k for k, c in enumerate(text) if c == " "] if spans else []
-    return [(bisect_right(spaces, b) - 1, bisect_right(spaces, e) - 1) for b, e in spans]
+    if not spans:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) == 32)
+    places = np.searchsorted(spaces, np.array(spans))  # a span begins and ends with a space, which has its word's number
+    return list(map(tuple, places.tolist()))
 
 
 def locate(found: DataFrame, work: Workspace) -> DataFrame:
