@@ -174,6 +174,42 @@ def test_shards(spark):
     assert sharding.assign(empty(spark)).count() == 0 and sharding.assign(docs(spark, ["a", "a", None])).count() == 3
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.33])
+def test_a_large_group_takes_as_few_shards_as_hold_it(spark, share):
+    n = 2000
+    same = int(n * share)
+    texts = ["same"] * same + [f"pair {k // 2}" for k in range(n // 4)] + [f"text {k}" for k in range(n - same - n // 4)]
+    rows = sharding.assign(docs(spark, texts)).collect()
+    shards = collections.defaultdict(collections.Counter)
+    for r in rows:
+        shards[texts[r["doc_id"]]][r["shard"]] += 1
+    assert len(shards["same"]) == -(-same // (n // 8)) and sum(shards["same"].values()) == same
+    assert sum(len(shards[f"pair {k}"]) for k in range(n // 8)) == n // 8
+    assert set(collections.Counter(r["shard"] for r in rows).values()) == {n // 8}
+
+
+def test_all_rows_linked_stay_with_their_groups(spark):
+    texts = [f"pair {k // 2}" for k in range(1600)]
+    shards = {}
+    for r in sharding.assign(docs(spark, texts)).collect():
+        shards.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_links_inside_a_group_over_one_shard(spark):
+    """A ring of 40 cliques: one component, which the rounds must cut between cliques and not through them."""
+    frame = docs(spark, [f"t {k}" for k in range(400)]).repartition(1).sortWithinPartitions("doc_id")
+    order = [r["doc_id"] for r in frame.collect()]
+    draw = random.Random(3)
+    member = list(range(400))
+    draw.shuffle(member)
+    links = [(member[10 * c + i], member[10 * c + j]) for c in range(40) for i in range(10) for j in range(i)] + [(member[10 * c], member[(10 * c + 10) % 400]) for c in range(40)]
+    found = {r["doc_id"]: r["shard"] for r in sharding.assign(frame, 4, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(collections.Counter(found.values()).values()) == {100}
+    cut = sum(found[order[a]] != found[order[b]] for a, b in links)
+    assert cut < 0.5 * len(links)  # at random it is three quarters
+
+
 def shingles(text, size):
     words = (text or "").encode().lower().split()
     n = min(size, len(words))
