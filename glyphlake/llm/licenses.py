@@ -3,7 +3,8 @@
 Candidate blocks are where a document shares a run of three words with a template, laid out along the template: the
 words that the whole notice would take up there. Each block is compressed with zstandard alone and with each
 template as raw dictionary; the template that takes the most off the size is the winner. A winner is confirmed by the
-exact word differences between block and template: few enough, or nothing but placeholders filled in.
+exact word differences between block and template: none that touches a deciding word (name, version, NC, SA, ND, Lesser,
+Affero), and few enough elsewhere, or nothing but placeholders filled in.
 
 Defined results: null and empty texts have no blocks; texts of any length are scanned whole; of overlapping confirmed blocks
 one without a wrong word stays, then the longer, the one with the larger reduction, the earlier, the first by name; repeated rows repeat.
@@ -22,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
-MOST_DIFFERENT = 0.2  # share of a template's words that may differ
+MOST_DIFFERENT = 0.2  # share of a template's words that may differ, besides the deciding ones
 LEAST_REDUCTION = 0.2
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 HOLDER = "placeholder"  # a word of a template that stands for up to six words of a notice
 HOLDER_WORDS = 6
+# Words that tell licences apart, and those after which a number is a version.
+DECIDING = frozenset("affero agpl apache artistic attribution boost bsd cc cc0 cddl commons creative eclipse epl gnu gpl isc lesser lgpl library mit mozilla mpl nc nd nocommercial noncommercial noderivatives noderivs public sa sharealike unlicense zero zlib".split())
+BEFORE_VERSION = DECIDING | {"v", "ver", "version", "versions", "license", "by"}
+NUMBER = re.compile(r"v?(\d+(?:\.\d+)*)")
 
 # Wordings of widely used public notices.
 TEMPLATES = {
@@ -62,6 +67,34 @@ def differences(template: list[str], block: list[str]) -> list[tuple[str, str, s
     return [(op, " ".join(template[a:b]), " ".join(block[c:d])) for op, a, b, c, d in match.get_opcodes() if op != "equal"]
 
 
+def deciding(words: list[str]) -> list[tuple[str, ...]]:
+    """What each word says about which licence it is; empty for the others. Spellings of one version are the same."""
+    out = []
+    before = ""
+    for word in words:
+        word = "license" if word in ("licence", "license") else word
+        number = NUMBER.fullmatch(word)
+        if number and (word[0] == "v" or before in BEFORE_VERSION):
+            said: tuple[str, ...] = (re.sub(r"(\.0)+$", "", number[1]),)
+        else:
+            said = tuple(part for part in word.split("-") if part in DECIDING or part == "license")
+        out.append(said)
+        before = word.split("-")[-1]
+    return out
+
+
+def other_licence(template: list[str], block: list[str]) -> bool:
+    """Whether a difference touches a deciding word; what fills a placeholder does not count, nor a further 'license'."""
+    ours, theirs = deciding(template), deciding(block)
+    match = difflib.SequenceMatcher(None, template, block, autojunk=False)
+    for op, a, b, c, d in match.get_opcodes():
+        if op != "equal" and not (a < b and all(w == HOLDER for w in template[a:b])):
+            wanted, found = ([w for said in part for w in said] for part in (ours[a:b], theirs[c:d]))
+            if "license" in wanted and "license" not in found or [w for w in wanted if w != "license"] != [w for w in found if w != "license"]:
+                return True
+    return False
+
+
 class Scanner:
     """Templates ready for scanning: an index of their word runs, and a compressor for each."""
 
@@ -107,7 +140,7 @@ class Scanner:
                 return None
             found = differences(self.words[name], words)
             missing = sum(max(len(a.split()) - a.split().count(HOLDER), 0 if HOLDER in a.split() else len(b.split())) for _, a, b in found)
-            if missing <= MOST_DIFFERENT * len(self.words[name]):
+            if missing <= MOST_DIFFERENT * len(self.words[name]) and not other_licence(self.words[name], words):
                 return name, reduction, missing, found
         return None
 

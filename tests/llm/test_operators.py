@@ -395,3 +395,29 @@ def test_licenses(spark):
     assert [(d["op"], d["template"], d["found"]) for d in found[5]["notices"][0]["differences"]] == [("replace", "license", "licence")]
     assert found[3]["notices"][0]["differences"] == [] and texts[3][found[3]["notices"][0]["start"] : found[3]["notices"][0]["stop"]] == "Released under the MIT License"
     assert licenses.summary(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, wrong",
+    [
+        ("Released under the BSD License.", "MIT"),
+        ("Released under the ISC License.", "MIT"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "GPL-3.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "GPL-3.0"),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.", "CC-BY-SA-4.0"),
+    ],
+)
+def test_another_licence_is_not_confirmed(text, wrong):
+    assert wrong not in [n["license"] for n in licenses.Scanner(licenses.TEMPLATES).scan(f"Some words. {text} More words.")[1]]
+
+
+@pytest.mark.parametrize("text, name", [("Licensed under the Apache License, version 2", "Apache-2.0"), ("This work is licenced under the GNU General Public License, version 3.0", "GPL-3.0")])
+def test_spellings_of_one_licence_are_confirmed(text, name):
+    assert [n["license"] for n in licenses.Scanner(licenses.TEMPLATES).scan(f"{text}. More words.")[1]] == [name]
