@@ -6,12 +6,14 @@ indexed by remaining capacity. Pieces are dealt over groups by a hash of documen
 holds more than a bounded number of pieces; a group wastes at most its last windows.
 
 Defined results: a null or empty text is a document of the closing id alone; repeated rows are packed once
-each; a null doc_id is a document like any other; an empty table gives no rows.
+each; a null doc_id is a document like any other; an empty table gives no rows; added tokens of the vocabulary file,
+as <|endoftext|>, are plain text unless added_tokens is set, and with it get the ids that the library gives by default.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,13 +35,14 @@ PIECES_PER_GROUP = 40_000
 class JsonVocabulary:
     """Encoder for a byte-level BPE file in the tokenizers library's JSON format.
 
-    Gives the ids that the library gives without special tokens. It reads the same vocabulary but merges with
+    Gives the ids that the library gives without adding special tokens. It reads the same vocabulary but merges with
     tiktoken's engine, which is several times faster; the tests hold it against the library.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         # The format writes a byte that is a visible Latin-1 character as itself, the others from U+0100 on.
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(visible)]
@@ -49,10 +52,20 @@ class JsonVocabulary:
             if all(c in byte_of for c in token):
                 ranks[bytes(byte_of[c] for c in token)] = at
         self.encoding = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added_tokens = file.get("added_tokens") or []
+        self.normalizes = bool(file.get("normalizer"))
         self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, at in ranks.items():
             self.length[at] = len(token)
 
+    def splitter(self) -> re.Pattern | None:
+        """Finds the file's added tokens, of those that begin at one place the longest; None if there are none."""
+        for token in self.added_tokens:
+            if token["single_word"] or token["lstrip"] or token["rstrip"] or (token["normalized"] and self.normalizes):
+                raise ValueError(f"added token {token['content']!r} is matched by rules that are not supported")
+        names = sorted((t["content"] for t in self.added_tokens), key=len, reverse=True)
+        return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian bytes. Pieces of one space and visible characters keep their ids when they follow each other."""
         out: list = [b""] * len(pieces)
@@ -72,9 +85,31 @@ class JsonVocabulary:
         return out
 
 
+class TextEncoder:
+    """Ids of whole texts as little-endian bytes, by cached pieces.
+
+    With added_tokens, the file's added tokens are found in a text first, as the library does by default, and what lies
+    between them is encoded by itself.
+    """
+
+    def __init__(self, path: str, pattern: str, added_tokens: bool = False) -> None:
+        self.vocabulary = JsonVocabulary(path, pattern)
+        self.splitter = self.vocabulary.splitter() if added_tokens else None
+        self.cache = PieceCache(self.vocabulary.encode_pieces)
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in self.vocabulary.added_tokens}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        splitter, added = self.splitter, self.added
+        if splitter is None or not any(map(splitter.search, texts)):
+            return self.cache.encode(texts)
+        parts = [splitter.split(t) for t in texts]
+        found = iter(self.cache.encode([p for cut in parts for p in cut[::2]]))
+        return [b"".join(added[p] if k % 2 else next(found) for k, p in enumerate(cut)) for cut in parts]
+
+
 @lru_cache(maxsize=2)
-def _cache(path: str, pattern: str) -> PieceCache:
-    return PieceCache(JsonVocabulary(path, pattern).encode_pieces)
+def _encoder(path: str, pattern: str, added_tokens: bool) -> TextEncoder:
+    return TextEncoder(path, pattern, added_tokens)
 
 
 class CapacityTree:
@@ -128,17 +163,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of each document's full windows and remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(path, pattern)
+        encoder = _encoder(path, pattern, added_tokens)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in byte_slices(texts):
                 owner, start, length, crc, total = [], [], [], [], []
-                for k, ids in enumerate(cache.encode([t or "" for t in texts[part]])):
+                for k, ids in enumerate(encoder.encode([t or "" for t in texts[part]])):
                     ids += end
                     n = len(ids) // 4
                     for at in range(0, n, capacity):
@@ -154,11 +189,11 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 0, per_group: int = PIECES_PER_GROUP) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 0, per_group: int = PIECES_PER_GROUP, added_tokens: bool = False) -> DataFrame:
     """Pieces of docs with sequence_id and offset: each id of each document lies in exactly one piece."""
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
-    cut = work.save(pieces(docs, path, pattern, capacity, end_id), "pieces")
+    cut = work.save(pieces(docs, path, pattern, capacity, end_id, added_tokens), "pieces")
     groups = max(1, -(-cut.count() // per_group))
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
 

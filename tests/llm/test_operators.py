@@ -85,6 +85,22 @@ def test_packing(spark):
     assert packing.pack(empty(spark), JSON, PATTERN).count() == 0
 
 
+def test_added_tokens_are_the_librarys(spark):
+    library, token, draw = Tokenizer.from_file(JSON), "<|endoftext|>", random.Random(1)
+    texts = ["a <|endoftext|> b", token, token * 2, f"x  {token}\n\n{token} ", f"<|{token}|>", "<|endoftext|", None, *("".join(draw.choice(["a", " ", "  ", "\n", token, "b c", "é", "don't"]) for _ in range(30)) for _ in range(100))]
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    found = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack(docs(spark, texts), JSON, PATTERN, added_tokens=True).collect()}
+    assert found == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+
+
+def test_packing_query_takes_added_tokens(spark, tmp_path):
+    from glyphlake.llm.queries import op9_packing
+
+    docs(spark, ["a <|endoftext|> b"]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert op9_packing(spark, str(tmp_path)).first()["doc_tokens"] == 5
+
+
 def test_best_fit_takes_the_tightest_window():
     draw = random.Random(4)
     for _ in range(30):
