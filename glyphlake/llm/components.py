@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,17 +49,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def components(links: DataFrame, work: Workspace, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, work: Workspace, most_rounds: int | None = None) -> DataFrame:
     """(node, component) of every node of links (a, b: long), component being the smallest node reachable.
 
     Nulls and links of a node with itself are left out. Large-star and small-star steps (Kiveris et al.) alternate
-    until nothing changes; each step is written to the shared folder. No task sees more than its share of links: minima are
+    until nothing changes, or raise an error if that takes more than most_rounds; each step is written to the shared folder. No task sees more than its share of links: minima are
     partial aggregates, and joins on a hub can be split.
     """
     real = links.where(F.col("a") != F.col("b")).select("a", "b")
     edges = work.save(real.mapInArrow(_contract, "a long, b long"), "contracted")
     before = None
-    for turn in range(most_rounds):
+    for turn in itertools.count():
+        if turn == most_rounds:
+            raise RuntimeError(f"links are not contracted after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()

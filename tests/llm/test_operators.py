@@ -310,6 +310,17 @@ def test_components(spark):
     assert found == {x: union.find(x) for x in union.parent}
 
 
+def test_components_do_not_end_early(spark):
+    draw = random.Random(9)
+    order = list(range(400))
+    draw.shuffle(order)
+    chain = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long").repartition(8)
+    with pytest.raises(RuntimeError):
+        components.components(chain, Workspace(spark, "test"), most_rounds=1)
+    found = components.components(chain, Workspace(spark, "test")).collect()
+    assert len(found) == 400 and {r["component"] for r in found} == {0}
+
+
 def expected_kept(texts, window):
     words = [(t or "").encode().split() for t in texts]
     counts = collections.Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
