@@ -1,17 +1,21 @@
-"""Removal of passages that recur, located with Aho-Corasick automata.
+"""Removal of passages that recur, located with sharded Aho-Corasick automata.
 
 A window is a run of `window` consecutive words. A word goes if a window covers it whose words also start anywhere else.
 
-1. Anchors. The anchor of a window is the least hash among its runs of 8 words, so equal windows have equal anchors, and
-   about one anchor comes for every fourteen words. Anchors are counted over all documents; only windows whose anchor recurs can recur.
-2. Confirmation. Documents with recurring anchors give up the regions around them; hashes of whole windows are counted there.
-   Maximal runs of recurring windows are the passages.
-3. Location. Distinct passages are dealt over shards of bounded text, each compiled into one automaton; the regions
-   of all documents stream through the automata that can hold one of their passages, in slices of bounded size, and every
-   occurrence is marked. A passage that very many documents share is in one shard, of which the slices are many tasks.
-4. Every document is put together from the words that no occurrence covers.
-
-Counts are partial aggregates and all joins are on hashes of row, anchor, window or shard, so no group is gathered whole.
+1. Anchors. The anchor of a window is the least hash among its runs of 8 words, the first of equal ones, so equal windows have
+   equal anchors. The windows of a document that share one anchor are a stretch: at most 28 windows, so nothing that
+   follows grows with a document's length. Anchors are counted over all documents; other stretches cannot recur.
+2. Confirmation. Stretches of equal content (128 bits) are counted. All windows of a stretch that occurs twice recur. Where
+   an anchor has several stretches, their windows are counted too, by 128 bits, and each recurring one is noted
+   at one place only, its source. What is noted are the phrases; where else they occur is not yet known.
+3. Location. The phrases are dealt by anchor over shards of a bounded number of windows and compiled into automata over words;
+   the stretches of all documents stream through the automata of their anchors, equal ones once, and every
+   window is found word by word. Phrases of one anchor that overfill a shard are spread over several, which its stretches all
+   visit; a shard with much to read is read in slices of bounded size by as many tasks.
+4. What was found in a stretch holds wherever the stretch is. Every document is put together from the words that no found window covers.
+
+Counts are partial aggregates, and counts are written before anything is joined with them, so that Spark can split the join
+on a hot stretch or anchor. No group is gathered whole.
 
 Defined results: null and empty texts have no words and the hash of the empty text; documents shorter than a window stay
 whole; repeated rows are occurrences of each other; an empty table gives no rows.
@@ -19,7 +23,6 @@ whole; repeated rows are occurrences of each other; an empty table gives no rows
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,45 +32,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphlake.llm.bpe import byte_slices
-from glyphlake.llm.superminhash import WordHashes, mix
 from glyphlake.llm.workspace import Workspace
+from glyphlake.llm.wordstream import hash_words, mix, powers, run_sums, slices, text_bytes
 
 GRAM = 8
-SHARD_CHARACTERS = 1_500_000
-SLICE_CHARACTERS = 8_000_000
+SLICE_BYTES = 1_000_000
+CHUNK_WORDS = 1_000_000
+SHARD_WINDOWS = 20_000
+SLICE_STRETCHES = 100_000
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ as they are; bytes.split knows no other white space."""
-    return (text or "").encode().split()
-
-
-def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every run of `length` words from the words' hashes, by doubling."""
-    level, size = h, 1
-    total, done = None, 0
-    while True:
-        if length & size:
-            part = level[done : done + len(h) - length + 1]
-            total = mix(part + _C) if total is None else mix(total * _A + part * _B)
-            done += size
-        if size * 2 > length:
-            return total
-        level = mix(level[:-size] * _A + level[size:] * _B)
-        size *= 2
+def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of every run of `window` words."""
+    return run_sums(h, window, _BASES[0]), run_sums(mix(h + _C), window, _BASES[1])
 
 
 def window_anchors(grams: np.ndarray, window: int) -> np.ndarray:
-    """The anchor of every window: the least of the hashes of the runs of 8 words inside."""
-    least = grams
+    """Where the anchor of every window lies: the first least one of its runs of 8 words."""
+    least, at = grams, np.arange(len(grams))
     span, size = window - GRAM + 1, 1
-    while size * 2 <= span:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    rest = span - size
-    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    while size < span:
+        step = min(size, span - size)
+        n = len(least) - step
+        later = least[step:] < least[:n]
+        least, at = np.where(later, least[step:], least[:n]), np.where(later, at[step:], at[:n])
+        size += step
+    return at
 
 
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -78,182 +70,191 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(flags[np.concatenate(([0], cut + 1))].tolist(), (flags[np.concatenate((cut, [len(flags) - 1]))] + 1).tolist()))
 
 
-def _hashed(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-
-
-def anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, anchor, c, s, n): runs of n windows from s that share an anchor, which lies at c places there."""
+def stretches(rows: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, anchor, s, n, h1, h2): the n windows from word s that share an anchor, and the hash of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        powers.cache_clear()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for part in byte_slices(texts):
-                if len(hashes) > hashes.MOST:
-                    hashes.clear()
-                owner, anchor, places, start, count = [], [], [], [], []
-                for k, text in enumerate(texts[part]):
-                    words = words_of(text)
-                    if len(words) < window:
+            data, bounds = text_bytes(batch.column(2))
+            for begin, end in slices(bounds, SLICE_BYTES):
+                words = hash_words(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin])
+                text = np.repeat(np.arange(end - begin), np.diff(words.first))
+                for at in range(0, max(0, len(text) - window + 1), CHUNK_WORDS):
+                    h, own = words.hash[at : at + CHUNK_WORDS + window - 1], text[at : at + CHUNK_WORDS + window - 1]
+                    grams = run_sums(h, GRAM, _BASES[0])
+                    where = window_anchors(grams, window)
+                    whole = np.flatnonzero(own[: len(where)] == own[window - 1 :])  # windows inside one text
+                    if not len(whole):
                         continue
-                    grams = run_hashes(_hashed(words, hashes), GRAM)
-                    a = window_anchors(grams, window)
-                    s = np.concatenate(([0], np.flatnonzero(a[1:] != a[:-1]) + 1))
-                    n = np.diff(np.concatenate((s, [len(a)])))
-                    c = np.ones(len(s), dtype=np.int32)
-                    if len(np.unique(grams)) < len(grams):  # windows of one run can then be equal
-                        for j in range(len(s)):
-                            c[j] = np.count_nonzero(grams[s[j] : s[j] + n[j] + window - GRAM] == a[s[j]])
-                    places.append(c)
-                    owner.append(np.full(len(s), part.start + k))
-                    anchor.append(a[s])
-                    start.append(s)
-                    count.append(n)
-                if owner:
-                    at = pa.array(np.concatenate(owner))
-                    yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(count).astype(np.int32))], names=["k1", "k2", "anchor", "c", "s", "n"])
-
-    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, c int, s int, n int")
-
-
-def regions(marked: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, at, region): the words around recurring anchors, joined by spaces, and where they start."""
+                    where = where[whole]
+                    first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+                    n = np.diff(np.concatenate((first, [len(where)])))
+                    s = whole[first]
+                    one, two = window_hashes(h, window)
+                    k = n.astype(np.uint64)
+                    owner = own[s]
+                    to = pa.array(begin + owner)
+                    yield pa.record_batch(
+                        [
+                            batch.column(0).take(to),
+                            batch.column(1).take(to),
+                            pa.array(grams[where[first]].view(np.int64)),
+                            pa.array((at + s - words.first[owner]).astype(np.int32)),
+                            pa.array(n.astype(np.int32)),
+                            pa.array(mix(one[s] * _A + one[s + n - 1] * _B + k).view(np.int64)),
+                            pa.array(mix(two[s] * _B + two[s + n - 1] * _A + k).view(np.int64)),
+                        ],
+                        names=["k1", "k2", "anchor", "s", "n", "h1", "h2"],
+                    )
+
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, s int, n int, h1 long, h2 long")
+
+
+def texts_of(sources: DataFrame, window: int) -> DataFrame:
+    """(id, text): the words of stretches, as they lie in their documents; sources (text, held: array of id, s, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, at, region = [], [], []
-            for k, (text, marks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                words = words_of(text)
-                cover = np.zeros(len(words) + 1, dtype=np.int64)
-                for m in marks:
-                    cover[m["s"]] += 1
-                    cover[m["s"] + m["n"] - 1 + window] -= 1
-                for begin, end in runs_of(np.flatnonzero(np.cumsum(cover) > 0)):
-                    owner.append(k)
-                    at.append(begin)
-                    region.append(b" ".join(words[begin:end]).decode())
-            to = pa.array(owner, pa.int64())
-            yield pa.record_batch([batch.column(0).take(to), batch.column(1).take(to), pa.array(at, pa.int32()), pa.array(region, pa.string())], names=["k1", "k2", "at", "region"])
-
-    return marked.select("k1", "k2", "text", "marks").mapInArrow(run, "k1 long, k2 long, at int, region string")
+            data, bounds = text_bytes(batch.column(0))
+            held = batch.column(1)
+            for begin, end in slices(bounds, SLICE_BYTES):
+                words = hash_words(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin])
+                part = held.slice(begin, end - begin)
+                each = part.flatten()
+                owner = np.repeat(np.arange(end - begin), part.value_lengths().to_numpy(zero_copy_only=False))
+                first = words.first[owner] + each.field("s").to_numpy()
+                last = first + each.field("n").to_numpy() + window - 2
+                raw = words.data.tobytes()
+                text = [raw[b:e].decode() for b, e in zip(words.begin[first].tolist(), words.end[last].tolist())]
+                yield pa.record_batch([each.field("id"), pa.array(text, pa.string())], names=["id", "text"])
+
+    return sources.select("text", "held").mapInArrow(run, "id long, text string")
 
 
 def windows(found: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, at, i, w): the hash w of the window i words into the region."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for part in byte_slices(texts, 2_000_000):
-                if len(hashes) > hashes.MOST:
-                    hashes.clear()
-                owner, place, hashed = [], [], []
-                for k, text in enumerate(texts[part]):
-                    w = run_hashes(_hashed(text.encode().split(b" "), hashes), window)
-                    owner.append(np.full(len(w), part.start + k))
-                    place.append(np.arange(len(w), dtype=np.int32))
-                    hashed.append(w)
-                if owner:
-                    to = pa.array(np.concatenate(owner))
-                    yield pa.record_batch([*(batch.column(j).take(to) for j in range(3)), pa.array(np.concatenate(place)), pa.array(np.concatenate(hashed).view(np.int64))], names=["k1", "k2", "at", "i", "w"])
-
-    return found.select("k1", "k2", "at", "region").mapInArrow(run, "k1 long, k2 long, at int, i int, w long")
-
-
-def passages(located: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, at, region, passages): the maximal runs of recurring windows of each region, as texts."""
+    """(id, m, i, w1, w2): the hash of the window i words into each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, places in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                words = text.split(" ")
-                out.append([" ".join(words[b : e - 1 + window]) for b, e in runs_of(np.sort(np.array(places)))])
-            yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.list_(pa.string()))], names=["k1", "k2", "at", "region", "passages"])
-
-    return located.select("k1", "k2", "at", "region", "places").mapInArrow(run, "k1 long, k2 long, at int, region string, passages array<string>")
-
-
-def compile_automaton(texts: list[str]) -> ahocorasick.Automaton:
-    """An automaton over passages, each with a space on either side so that only whole words match."""
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for text in texts:
-        machine.add_word(f" {text} ")
-    machine.make_automaton()
-    return machine
-
-
-def covered(machine: ahocorasick.Automaton, region: str) -> list[tuple[int, int]]:
-    """(begin, end) in words of the parts of a region that occurrences of the automaton's passages cover."""
-    text = f" {region} "
-    spans: list[tuple[int, int]] = []  # in characters, from the space before to the space after
-    for last, length in machine.iter(text):
-        begin = last - length + 1
-        while spans and spans[-1][0] >= begin:
-            spans.pop()
-        if spans and begin < spans[-1][1]:
-            begin = spans.pop()[0]
-        spans.append((begin, last))
-    if not spans:
-        return []
-    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) == 32)
-    places = np.searchsorted(spaces, np.array(spans))  # a span begins and ends with a space, which has its word's number
-    return list(map(tuple, places.tolist()))
-
-
-def locate(found: DataFrame, work: Workspace) -> DataFrame:
-    """(k1, k2, begin, end): every occurrence of a passage, in words of its document, found by sharded automata."""
-    distinct = found.select(F.explode("passages").alias("passage")).withColumn("p", F.xxhash64("passage")).groupBy("p").agg(F.first("passage").alias("passage"))
-    distinct = work.save(distinct, "passages")
-    size = distinct.agg(F.sum(F.length("passage"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_CHARACTERS))
-    shard = lambda p: F.pmod(p, F.lit(shards))
-    routed = found.select("k1", "k2", "at", "region", F.explode(F.array_distinct(F.transform("passages", lambda p: shard(F.xxhash64(p))))).alias("shard"))
-    slices = routed.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("region")) / SLICE_CHARACTERS)).cast("int").alias("slices"))
-    slices = work.save(slices, "slices")
-    streams = routed.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("k1", "k2", "at"), F.col("slices")).cast("int"))
-    patterns = distinct.withColumn("shard", shard(F.col("p"))).join(slices, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "passage")
-
-    def stream(key: tuple, texts: pa.Table, documents: pa.Table) -> pa.Table:
-        machine = compile_automaton(texts.column("passage").to_pylist())
-        owner, begin, end = [], [], []
-        for k, (at, region) in enumerate(zip(documents.column("at").to_pylist(), documents.column("region").to_pylist())):
-            for b, e in covered(machine, region):
-                owner.append(k)
-                begin.append(at + b)
-                end.append(at + e)
-        to = pa.array(owner, pa.int64())
-        return pa.table({"k1": documents.column("k1").take(to), "k2": documents.column("k2").take(to), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
-
-    return patterns.groupBy("shard", "slice").cogroup(streams.select("shard", "slice", "k1", "k2", "at", "region").groupBy("shard", "slice")).applyInArrow(stream, "k1 long, k2 long, begin int, end int")
+            data, bounds = text_bytes(batch.column(2))
+            for begin, end in slices(bounds, SLICE_BYTES):
+                words = hash_words(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin])
+                text = np.repeat(np.arange(end - begin), np.diff(words.first))
+                one, two = window_hashes(words.hash, window)
+                whole = np.flatnonzero(text[: len(one)] == text[window - 1 :])
+                owner = text[whole]
+                to = pa.array(begin + owner)
+                yield pa.record_batch([batch.column(0).take(to), batch.column(1).take(to), pa.array((whole - words.first[owner]).astype(np.int32)), pa.array(one[whole].view(np.int64)), pa.array(two[whole].view(np.int64))], names=["id", "m", "i", "w1", "w2"])
+
+    return found.select("id", "m", "text").mapInArrow(run, "id long, m long, i int, w1 long, w2 long")
+
+
+class Phrases:
+    """An automaton over windows of words.
+
+    Every word of the phrases is a number, written as two characters of alphabets that do not meet, so that a match begins at a
+    word and no state has many ways on; words that no phrase has are all written alike.
+    """
+
+    OTHER = "\x80\x81"
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        self.code: dict[bytes, str] = {}
+
+    def add(self, text: str, places: list[int] | None) -> None:
+        """The windows that begin at these words of text; all of them without places."""
+        code = self.code
+        out = []
+        for word in text.encode().split():
+            if word not in code:
+                n = len(code)
+                code[word] = chr(0x400 + (n >> 8)) + chr(0x200 + (n & 255))
+            out.append(code[word])
+        flat = "".join(out)
+        for at in range(len(out) - self.window + 1) if places is None else places:
+            self.machine.add_word(flat[2 * at : 2 * (at + self.window)])
+
+    def close(self) -> None:
+        self.machine.make_automaton()
+
+    def find(self, text: str) -> list[int]:
+        """Where the windows of text begin, in words, that are phrases."""
+        if not self.code:
+            return []
+        get, other = self.code.get, self.OTHER
+        flat = "".join([get(w, other) for w in text.encode().split()])
+        return [(last + 1) // 2 - self.window for last, _ in self.machine.iter(flat)]
+
+
+def locate(phrases: DataFrame, streamed: DataFrame, window: int, work: Workspace) -> DataFrame:
+    """(id, begin, end): every occurrence of a phrase in the streamed stretches (id, anchor, text), in words, runs of them as one.
+
+    phrases (id, anchor, text, places, n): the n windows that begin at these words, or all.
+    """
+    counted = work.save(phrases.groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-total // SHARD_WINDOWS))
+    salts = counted.select("anchor", F.ceil(F.col("n") / SHARD_WINDOWS).cast("long").alias("salts"))
+    shard = F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).alias("shard")
+    visits = streamed.join(salts, "anchor").select("id", "text", "anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("id", "text", shard)
+    visits = work.save(visits, "visits")
+    sliced = visits.groupBy("shard").agg(F.ceil(F.count("*") / SLICE_STRETCHES).cast("int").alias("slices"))
+    sliced = work.save(sliced, "slices")
+    visits = visits.join(sliced, "shard").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    dealt = phrases.join(salts, "anchor").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("text", "places", shard)
+    dealt = dealt.join(sliced, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "text", "places")
+
+    def stream(key: tuple, known: pa.Table, documents: pa.Table) -> pa.Table:
+        machine = Phrases(window)
+        for text, places in zip(known.column("text").to_pylist(), known.column("places").to_pylist()):
+            machine.add(text, places)
+        machine.close()
+        ids, begin, end = [], [], []
+        for k, text in zip(documents.column("id").to_pylist(), documents.column("text").to_pylist()):
+            for b, e in runs_of(np.array(machine.find(text), dtype=np.int64)):
+                ids.append(k)
+                begin.append(b)
+                end.append(e - 1 + window)
+        return pa.table({"id": pa.array(ids, pa.int64()), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
+
+    return dealt.groupBy("shard", "slice").cogroup(visits.select("shard", "slice", "id", "text").groupBy("shard", "slice")).applyInArrow(stream, "id long, begin int, end int")
 
 
 def spans(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     """(k1, k2, spans): the parts, in words, that go from each row of docs that has any; k1 and k2 are as key_columns gives them."""
     rows = docs.withColumns(dict(zip(("k1", "k2"), key_columns())))
-    runs = work.save(anchors(rows, window), "anchors")
-    again = runs.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor")
-    marks = runs.join(again, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "n")).alias("marks"))
-    marks = work.save(marks, "marks")
-    work.drop(runs)
-    work.release()
-    found = work.save(regions(rows.join(marks, ["k1", "k2"]), window), "regions")
-    work.drop(marks)
+    every = work.save(stretches(rows, window), "stretches")
+    again = work.save(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "again")
+    live = work.save(every.join(again, "anchor", "left_semi"), "live")
+    work.drop(every, again)
     work.release()
-    hashed = windows(found, window)
-    again = work.save(hashed.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w"), "windows")
+    # One of each content, with one place to read it; all first() of a group are of one row.
+    kinds = live.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("k1", "k2", "s", "n")))
+    kinds = work.save(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
+    held = work.save(kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("id", "s", "n")).alias("held")), "held")
+    read = work.save(texts_of(rows.join(held, ["k1", "k2"]), window).join(kinds.select("id", "anchor", "m", "n"), "id"), "texts")
+    work.drop(held)
     work.release()
-    places = hashed.join(again, "w", "left_semi").groupBy("k1", "k2", "at").agg(F.collect_set("i").alias("places"))
-    places = work.save(places, "places")
-    work.drop(again)
+
+    # Confirmed phrases: whole stretches that occur twice, and windows shared by different stretches of an anchor.
+    several = work.save(kinds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
+    counted = windows(read.join(several, "anchor", "left_semi"), window).groupBy("w1", "w2").agg(F.sum("m").alias("c"), F.min("id").alias("id"), F.min_by("i", "id").alias("i"))
+    shared = work.save(counted.where("c > 1").groupBy("id").agg(F.collect_set("i").alias("places")), "shared")
     work.release()
-    known = work.save(passages(found.join(places, ["k1", "k2", "at"]), window), "located")
-    work.drop(found, places)
+    parts = read.where("m = 1").join(shared, "id").select("id", "anchor", "text", "places", F.size("places").alias("n"))
+    phrases = work.save(read.where("m > 1").select("id", "anchor", "text", F.lit(None).cast("array<int>").alias("places"), "n").unionByName(parts), "phrases")
+    work.drop(shared, several)
+
+    found = work.save(locate(phrases, read.select("id", "anchor", "text"), window, work), "found")
+    work.drop(phrases, read)
     work.release()
-    out = work.save(locate(known, work).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
-    work.drop(known)
+    found = work.save(found.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).join(kinds.select("id", "anchor", "h1", "h2"), "id").drop("id"), "places")
+    placed = live.join(found, ["anchor", "h1", "h2"]).select("k1", "k2", F.transform("spans", lambda x: F.struct((F.col("s") + x["begin"]).alias("begin"), (F.col("s") + x["end"]).alias("end"))).alias("spans"))
+    out = work.save(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    work.drop(live, kinds, found)
     work.release()
     return out
 
@@ -270,33 +271,38 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def keep(words: list[bytes], gone: list[dict] | None) -> list[bytes]:
-    """The words outside the spans."""
-    if not gone:
-        return words
-    stay = np.ones(len(words), dtype=bool)
-    for span in gone:
-        stay[span["begin"] : span["end"]] = False
-    return [words[k] for k in np.flatnonzero(stay)]
+_KEPT = T.StructType([T.StructField("words", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
 
-_KEPT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+def keep(text: str | None, gone: list[dict] | None) -> tuple[str, str | None, int, int]:
+    """Of a text: the words outside the spans joined by spaces, the text without the others, and how many words it had and lost."""
+    raw = (text or "").encode()
+    if not gone:
+        words = raw.split()
+        return b" ".join(words).decode(), text, len(words), 0
+    words = hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    edge = np.zeros(len(words.begin) + 1, dtype=np.int64)
+    for span in gone:
+        edge[span["begin"]] += 1
+        edge[span["end"]] -= 1
+    cover = np.cumsum(edge[:-1]) > 0
+    upto = np.append(words.begin[1:], len(raw))  # what is between a word and the next goes with the word
+    stay = runs_of(np.flatnonzero(~cover))
+    joined = b" ".join(b" ".join(raw[words.begin[b] : words.end[e - 1]].split()) for b, e in stay)
+    left = raw[: words.begin[0]] + b"".join(raw[words.begin[b] : upto[e - 1]] for b, e in stay)
+    return joined.decode(), left.decode(), len(cover), int(cover.sum())
 
 
 @F.arrow_udf(_KEPT)
 def _keep(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    text, total, removed = [], [], []
-    for t, s in zip(texts.to_pylist(), gone.to_pylist()):
-        words = words_of(t)
-        stay = keep(words, s)
-        text.append(b" ".join(stay).decode())
-        total.append(len(words))
-        removed.append(len(words) - len(stay))
-    return pa.StructArray.from_arrays([pa.array(text, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["text", "n_words", "n_removed"])
+    made = [keep(t, s) for t, s in zip(texts.to_pylist(), gone.to_pylist())]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], ["words", "text", "n_words", "n_removed"])
 
 
 def kept(docs: DataFrame, name: str, window: int = 35) -> DataFrame:
-    """docs with a struct column (text, n_words, n_removed): the kept words joined by spaces, and counts."""
+    """docs with a struct column (words, text, n_words, n_removed): the kept words joined by spaces, the text as it was
+    but for the words that went and the white space after them, and counts."""
     work = Workspace(docs.sparkSession, "substrings")
     k1, k2, gone = (unused(docs, c) for c in ("k1", "k2", "spans"))
     found = spans(docs.select("doc_id", "text"), window, work).toDF(k1, k2, gone)
@@ -307,4 +313,4 @@ def kept(docs: DataFrame, name: str, window: int = 35) -> DataFrame:
 def digests(docs: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     found = kept(docs.select("doc_id", "text"), "kept", window)
-    return found.select("doc_id", "kept.n_words", "kept.n_removed", F.sha2(F.encode("kept.text", "UTF-8"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "kept.n_words", "kept.n_removed", F.sha2(F.encode("kept.words", "UTF-8"), 256).alias("kept_sha256"))

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphlake.llm import bpe, components, isomedia, labelled, licenses, neardup, packing, quality, rabitq, sharding, substrings, superminhash, toxicity
+from glyphlake.llm import bpe, components, isomedia, labelled, licenses, neardup, packing, quality, rabitq, sharding, substrings, superminhash, toxicity, wordstream
 from glyphlake.llm.workspace import Workspace
 
 SCHEMA = "doc_id long, text string"
@@ -350,9 +350,60 @@ def test_recurring_passages(spark):
 
 
 def test_automata_find_every_occurrence():
-    machine = substrings.compile_automaton(["a b", "b c d", "x"])
-    assert substrings.covered(machine, "a b c d e x ab x") == [(0, 4), (5, 6), (7, 8)]
-    assert substrings.covered(machine, "zz a bb") == []
+    machine = substrings.Phrases(3)
+    machine.add("a b c d", None)
+    machine.add("x y z q r", [2])
+    machine.close()
+    assert machine.find("a b  c\nd x y z q r z q") == [0, 1, 6]
+    assert machine.find("aa b c b c dd") == [] and machine.find("") == []
+    nothing = substrings.Phrases(3)
+    nothing.close()
+    assert nothing.find("a b c") == []
+
+
+def test_small_shards_and_slices_find_the_same(spark, monkeypatch):
+    """Phrases of one anchor over several shards, stretches of one shard over several slices, documents in chunks."""
+    for name, value in {"SHARD_WINDOWS": 5, "SLICE_STRETCHES": 3, "CHUNK_WORDS": 40, "SLICE_BYTES": 500}.items():
+        monkeypatch.setattr(substrings, name, value)
+    draw = random.Random(18)
+    line = " ".join(f"c{k}" for k in range(12))
+    texts = [f"{' '.join(f'u{draw.randint(0, 40)}' for _ in range(30))} {line} {' '.join(f'u{draw.randint(0, 3)}' for _ in range(30))}" for _ in range(12)]
+    texts += [texts[0] + " tail", "x " + texts[1], *near_copies(19, 8, 120, 3), "a b c " * 60]
+    found = by_id(substrings.digests(docs(spark, texts)))
+    assert [(found[i]["n_words"], found[i]["n_removed"], found[i]["kept_sha256"]) for i in range(len(texts))] == expected_kept(texts, 35)
+
+
+def test_a_long_document_twice_is_many_stretches(spark):
+    draw = random.Random(20)
+    long = " ".join(f"w{draw.randint(0, 10**7)}" for _ in range(400_000))
+    found = by_id(substrings.digests(docs(spark, [long, "before " + long + " after", "other words"])))
+    assert [(found[i]["n_words"], found[i]["n_removed"]) for i in range(3)] == [(400_000, 400_000), (400_002, 400_000), (2, 0)]
+
+
+def test_text_stays_as_it_is_but_for_what_goes(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [f"  one\n\ttwo \n{passage}\n\nthree  four ", passage.replace(" ", "\n"), " a\n b ", None, ""]
+    rows = by_id(substrings.kept(docs(spark, texts), "out").select("doc_id", "out.*"))
+    assert [rows[i]["text"] for i in range(5)] == ["  one\n\ttwo \nthree  four ", "", " a\n b ", None, ""]
+    assert [rows[i]["words"] for i in range(5)] == ["one two three four", "", "a b", "", ""]
+
+
+def test_hashed_words_are_the_words():
+    import pyarrow as pa
+
+    draw = random.Random(21)
+    texts = [None, "", " ", "x" * 200 + " y", *("".join(draw.choice(["a", "b", " ", "\n", "é", "Z", "\t", "q" * 70, "\x1c"]) for _ in range(draw.randint(0, 200))) for _ in range(100))]
+    data, bounds = wordstream.text_bytes(pa.array(["cut", *texts]).slice(1))
+    for lower in (False, True):
+        words, seen = wordstream.hash_words(data, bounds, lower), {}
+        for k, t in enumerate(texts):
+            own = ((t or "").encode().lower() if lower else (t or "").encode()).split()
+            here = range(words.first[k], words.first[k + 1])
+            assert len(here) == len(own)
+            for word, j in zip(own, here):
+                assert seen.setdefault(word, words.hash[j]) == words.hash[j]
+                assert len(word) == words.end[j] - words.begin[j]
+        assert len(set(seen.values())) == len(seen)
 
 
 def labelled_docs(spark, n=700, seed=12):
