@@ -53,8 +53,9 @@ def components(links: DataFrame, work: Workspace, most_rounds: int | None = None
     """(node, component) of every node of links (a, b: long), component being the smallest node reachable.
 
     Nulls and links of a node with itself are left out. Large-star and small-star steps (Kiveris et al.) alternate
-    until nothing changes, or raise an error if that takes more than most_rounds; each step is written to the shared folder. No task sees more than its share of links: minima are
-    partial aggregates, and joins on a hub can be split.
+    until nothing changes, or raise an error if that takes more than most_rounds; each step is written to the shared folder. No task
+    sees more than its share of links: minima are partial aggregates, written before the join with them, so that the join reads
+    two plain tables, of which Spark splits the partition that holds a hub's links.
     """
     real = links.where(F.col("a") != F.col("b")).select("a", "b")
     edges = work.save(real.mapInArrow(_contract, "a long, b long"), "contracted")
@@ -63,14 +64,15 @@ def components(links: DataFrame, work: Workspace, most_rounds: int | None = None
         if turn == most_rounds:
             raise RuntimeError(f"links are not contracted after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = work.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"least{turn}")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         large = work.save(large, f"large{turn}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        work.drop(least)
+        least = work.save(large.groupBy("a").agg(F.min("b").alias("m")), f"lower{turn}")
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")))
         small = work.save(small.where(F.col("a") != F.col("b")).distinct(), f"small{turn}")
-        work.drop(edges, large)
+        work.drop(edges, large, least)
         edges = small
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:

@@ -9,47 +9,42 @@ soon as j exceeds every value that its set still holds. All elements of a batch
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+
+from glyphlake.llm.wordstream import hash_words, mix, slices, text_bytes
 
 PLACES = 128
+SLICE_BYTES = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), kept for the life of a batch run."""
-
-    MOST = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        at = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = at
-        return at
-
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of `size` words; of all its words, if they are fewer; empty without words.
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, as UTF-8; bytes.split and bytes.lower know no other characters."""
-    return (text or "").encode().lower().split()
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case.
+    """
+    data, bounds = text_bytes(texts)
+    out = []
+    for begin, end in slices(bounds, SLICE_BYTES):
+        words = hash_words(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin], lower=True)
+        runs = _runs(words.hash, size)
+        for first, stop in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            n = stop - first
+            found = runs[first : stop - size + 1] if n >= size else _runs(words.hash[first:stop], n)
+            found = np.sort(found)
+            out.append(found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found)
+    return out
 
 
-def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `size` words; of all words, if they are fewer; empty without words."""
-    if not words:
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of `size` numbers."""
+    if not 0 < size <= len(h):
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(words))
-    total = np.full(len(words) - n + 1, np.uint64(n), dtype=np.uint64)
-    for k in range(n):
-        total = mix(total * _FACTORS[k % len(_FACTORS)] + h[k : len(h) - n + 1 + k])
-    return np.unique(total)
+    total = np.full(len(h) - size + 1, np.uint64(size), dtype=np.uint64)
+    for k in range(size):
+        total = mix(total * _FACTORS[k % len(_FACTORS)] + h[k : len(h) - size + 1 + k])
+    return total
 
 
 def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:

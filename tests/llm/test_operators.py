@@ -270,6 +270,21 @@ def test_near_duplicate_groups(spark):
     assert neardup.group(empty(spark), 4).count() == 0
 
 
+def test_buckets_without_a_common_neighbour_are_compared_in_full(spark):
+    """Chains: neighbours are similar, the smallest of a bucket is often similar to few of its members."""
+    draw = random.Random(23)
+    words = [f"w{draw.randint(0, 10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        texts.append(" ".join(words))
+        words = [w if draw.random() > 0.03 else f"e{draw.randint(0, 10**6)}" for w in words]
+    draw.shuffle(texts)
+    found = by_id(neardup.group(docs(spark, texts), 4))
+    assert [found[i]["component_id"] for i in range(len(texts))] == expected_groups(texts, 4)[0]
+    with pytest.raises(TypeError):
+        neardup.group(docs(spark, texts).withColumn("doc_id", F.col("doc_id").cast("string")), 4)
+
+
 def test_blocks_of_a_large_cluster_give_the_same_groups(spark, monkeypatch):
     texts = near_copies(7, 60, 80, 10)
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
@@ -350,20 +365,21 @@ def test_recurring_passages(spark):
 
 
 def test_automata_find_every_occurrence():
-    machine = substrings.Phrases(3)
-    machine.add("a b c d", None)
-    machine.add("x y z q r", [2])
+    machine = substrings.Phrases()
+    machine.add("a b c d", False, 3, [0, 1])
+    machine.add("x y z q r", True, 3, [2])
     machine.close()
-    assert machine.find("a b  c\nd x y z q r z q") == [0, 1, 6]
-    assert machine.find("aa b c b c dd") == [] and machine.find("") == []
-    nothing = substrings.Phrases(3)
+    assert machine.find("a b  c\nd x y z q r z q") == [(0, 4), (4, 9)]
+    assert machine.find("z q r a b c b c d") == [(0, 3), (3, 6), (6, 9)]
+    assert machine.find("aa b c b c dd x y z q") == [] and machine.find("") == []
+    nothing = substrings.Phrases()
     nothing.close()
     assert nothing.find("a b c") == []
 
 
 def test_small_shards_and_slices_find_the_same(spark, monkeypatch):
     """Phrases of one anchor over several shards, stretches of one shard over several slices, documents in chunks."""
-    for name, value in {"SHARD_WINDOWS": 5, "SLICE_STRETCHES": 3, "CHUNK_WORDS": 40, "SLICE_BYTES": 500}.items():
+    for name, value in {"SHARD_WORDS": 200, "SLICE_STRETCHES": 3, "CHUNK_WORDS": 40, "SLICE_BYTES": 500}.items():
         monkeypatch.setattr(substrings, name, value)
     draw = random.Random(18)
     line = " ".join(f"c{k}" for k in range(12))
