@@ -6,13 +6,13 @@ A window is a run of `window` consecutive words. A word goes if a window covers
    equal anchors. The windows of a document that share one anchor are a stretch: at most 28 windows, so nothing that
    follows grows with a document's length. Anchors are counted over all documents; other stretches cannot recur.
 2. Confirmation. Stretches of equal content (128 bits) are counted. All windows of a stretch that occurs twice recur. Where
-   an anchor has several stretches, their windows are counted too, by 128 bits, and each recurring one is noted
-   at one place only, its source. What is noted are the phrases; where else they occur is not yet known.
-3. Location. The phrases are dealt by anchor over shards of a bounded number of windows and compiled into automata over words;
+   an anchor has stretches of several contents, their windows are counted too, by 128 bits, and each that several have is noted
+   at one place only, its source. Whole stretches and shared windows are the phrases; where else they occur is not yet known.
+3. Location. The phrases are dealt by anchor over shards of a bounded number of words and compiled into automata over words;
    the stretches of all documents stream through the automata of their anchors, equal ones once, and every
-   window is found word by word. Phrases of one anchor that overfill a shard are spread over several, which its stretches all
+   phrase is found word by word. Phrases of one anchor that overfill a shard are spread over several, which its stretches all
    visit; a shard with much to read is read in slices of bounded size by as many tasks.
-4. What was found in a stretch holds wherever the stretch is. Every document is put together from the words that no found window covers.
+4. What was found in a stretch holds wherever the stretch is. Every document is put together from the words that no found phrase covers.
 
 Counts are partial aggregates, and counts are written before anything is joined with them, so that Spark can split the join
 on a hot stretch or anchor. No group is gathered whole.
@@ -38,7 +38,7 @@ from glyphlake.llm.wordstream import hash_words, mix, powers, run_sums, slices,
 GRAM = 8
 SLICE_BYTES = 1_000_000
 CHUNK_WORDS = 1_000_000
-SHARD_WINDOWS = 20_000
+SHARD_WORDS = 400_000
 SLICE_STRETCHES = 100_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -133,11 +133,11 @@ def texts_of(sources: DataFrame, window: int) -> DataFrame:
 
 
 def windows(found: DataFrame, window: int) -> DataFrame:
-    """(id, m, i, w1, w2): the hash of the window i words into each stretch."""
+    """(id, i, w1, w2): the hash of the window i words into each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(2))
+            data, bounds = text_bytes(batch.column(1))
             for begin, end in slices(bounds, SLICE_BYTES):
                 words = hash_words(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin])
                 text = np.repeat(np.arange(end - begin), np.diff(words.first))
@@ -145,13 +145,13 @@ def windows(found: DataFrame, window: int) -> DataFrame:
                 whole = np.flatnonzero(text[: len(one)] == text[window - 1 :])
                 owner = text[whole]
                 to = pa.array(begin + owner)
-                yield pa.record_batch([batch.column(0).take(to), batch.column(1).take(to), pa.array((whole - words.first[owner]).astype(np.int32)), pa.array(one[whole].view(np.int64)), pa.array(two[whole].view(np.int64))], names=["id", "m", "i", "w1", "w2"])
+                yield pa.record_batch([batch.column(0).take(to), pa.array((whole - words.first[owner]).astype(np.int32)), pa.array(one[whole].view(np.int64)), pa.array(two[whole].view(np.int64))], names=["id", "i", "w1", "w2"])
 
-    return found.select("id", "m", "text").mapInArrow(run, "id long, m long, i int, w1 long, w2 long")
+    return found.select("id", "text").mapInArrow(run, "id long, i int, w1 long, w2 long")
 
 
 class Phrases:
-    """An automaton over windows of words.
+    """An automaton over phrases of words.
 
     Every word of the phrases is a number, written as two characters of alphabets that do not meet, so that a match begins at a
     word and no state has many ways on; words that no phrase has are all written alike.
@@ -159,13 +159,12 @@ class Phrases:
 
     OTHER = "\x80\x81"
 
-    def __init__(self, window: int) -> None:
-        self.window = window
+    def __init__(self) -> None:
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         self.code: dict[bytes, str] = {}
 
-    def add(self, text: str, places: list[int] | None) -> None:
-        """The windows that begin at these words of text; all of them without places."""
+    def add(self, text: str, whole: bool, window: int, places: list[int] | None) -> None:
+        """The whole text, and its windows that begin at these words."""
         code = self.code
         out = []
         for word in text.encode().split():
@@ -174,51 +173,61 @@ class Phrases:
                 code[word] = chr(0x400 + (n >> 8)) + chr(0x200 + (n & 255))
             out.append(code[word])
         flat = "".join(out)
-        for at in range(len(out) - self.window + 1) if places is None else places:
-            self.machine.add_word(flat[2 * at : 2 * (at + self.window)])
+        if whole:
+            self.machine.add_word(flat)
+        for at in places or ():
+            self.machine.add_word(flat[2 * at : 2 * (at + window)])
 
     def close(self) -> None:
         self.machine.make_automaton()
 
-    def find(self, text: str) -> list[int]:
-        """Where the windows of text begin, in words, that are phrases."""
+    def find(self, text: str) -> list[tuple[int, int]]:
+        """(begin, end), in words, of the parts of text that phrases cover; parts that only touch stay apart."""
         if not self.code:
             return []
         get, other = self.code.get, self.OTHER
         flat = "".join([get(w, other) for w in text.encode().split()])
-        return [(last + 1) // 2 - self.window for last, _ in self.machine.iter(flat)]
+        out: list[tuple[int, int]] = []
+        for last, length in self.machine.iter(flat):
+            end = (last + 1) // 2
+            begin = end - length // 2
+            while out and out[-1][0] >= begin:
+                out.pop()
+            if out and begin < out[-1][1]:
+                begin = out.pop()[0]
+            out.append((begin, end))
+        return out
 
 
 def locate(phrases: DataFrame, streamed: DataFrame, window: int, work: Workspace) -> DataFrame:
-    """(id, begin, end): every occurrence of a phrase in the streamed stretches (id, anchor, text), in words, runs of them as one.
+    """(id, begin, end): the parts, in words, of the streamed stretches (id, anchor, text) that phrases cover.
 
-    phrases (id, anchor, text, places, n): the n windows that begin at these words, or all.
+    phrases (id, anchor, text, whole, places, n): the text if whole, and its windows at places; n words in all.
     """
     counted = work.save(phrases.groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WINDOWS))
-    salts = counted.select("anchor", F.ceil(F.col("n") / SHARD_WINDOWS).cast("long").alias("salts"))
+    shards = max(1, -(-total // SHARD_WORDS))
+    salts = counted.select("anchor", F.ceil(F.col("n") / SHARD_WORDS).cast("long").alias("salts"))
     shard = F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).alias("shard")
     visits = streamed.join(salts, "anchor").select("id", "text", "anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("id", "text", shard)
     visits = work.save(visits, "visits")
     sliced = visits.groupBy("shard").agg(F.ceil(F.count("*") / SLICE_STRETCHES).cast("int").alias("slices"))
     sliced = work.save(sliced, "slices")
     visits = visits.join(sliced, "shard").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    dealt = phrases.join(salts, "anchor").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("text", "places", shard)
-    dealt = dealt.join(sliced, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "text", "places")
+    dealt = phrases.join(salts, "anchor").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("text", "whole", "places", shard)
+    dealt = dealt.join(sliced, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "text", "whole", "places")
 
     def stream(key: tuple, known: pa.Table, documents: pa.Table) -> pa.Table:
-        machine = Phrases(window)
-        for text, places in zip(known.column("text").to_pylist(), known.column("places").to_pylist()):
-            machine.add(text, places)
+        machine = Phrases()
+        for text, whole, places in zip(*(known.column(c).to_pylist() for c in ("text", "whole", "places"))):
+            machine.add(text, whole, window, places)
         machine.close()
-        ids, begin, end = [], [], []
+        ids, found = [], []
         for k, text in zip(documents.column("id").to_pylist(), documents.column("text").to_pylist()):
-            for b, e in runs_of(np.array(machine.find(text), dtype=np.int64)):
-                ids.append(k)
-                begin.append(b)
-                end.append(e - 1 + window)
-        return pa.table({"id": pa.array(ids, pa.int64()), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
+            parts = machine.find(text)
+            found += parts
+            ids += [k] * len(parts)
+        return pa.table({"id": pa.array(ids, pa.int64()), "begin": pa.array([b for b, _ in found], pa.int32()), "end": pa.array([e for _, e in found], pa.int32())})
 
     return dealt.groupBy("shard", "slice").cogroup(visits.select("shard", "slice", "id", "text").groupBy("shard", "slice")).applyInArrow(stream, "id long, begin int, end int")
 
@@ -239,13 +248,15 @@ def spans(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     work.drop(held)
     work.release()
 
-    # Confirmed phrases: whole stretches that occur twice, and windows shared by different stretches of an anchor.
+    # Confirmed phrases: whole stretches that occur twice, and windows that stretches of different content share.
     several = work.save(kinds.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
-    counted = windows(read.join(several, "anchor", "left_semi"), window).groupBy("w1", "w2").agg(F.sum("m").alias("c"), F.min("id").alias("id"), F.min_by("i", "id").alias("i"))
+    counted = windows(read.join(several, "anchor", "left_semi"), window).groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.min_by("i", "id").alias("i"))
     shared = work.save(counted.where("c > 1").groupBy("id").agg(F.collect_set("i").alias("places")), "shared")
     work.release()
-    parts = read.where("m = 1").join(shared, "id").select("id", "anchor", "text", "places", F.size("places").alias("n"))
-    phrases = work.save(read.where("m > 1").select("id", "anchor", "text", F.lit(None).cast("array<int>").alias("places"), "n").unionByName(parts), "phrases")
+    whole = F.col("m") > 1
+    size = F.when(whole, F.col("n") + window - 1).otherwise(0) + window * F.coalesce(F.size("places"), F.lit(0))
+    phrases = read.join(shared, "id", "left").where(whole | F.col("places").isNotNull()).select("id", "anchor", "text", whole.alias("whole"), "places", size.alias("n"))
+    phrases = work.save(phrases, "phrases")
     work.drop(shared, several)
 
     found = work.save(locate(phrases, read.select("id", "anchor", "text"), window, work), "found")
