@@ -2,12 +2,14 @@
 
 A document longer than a window is first cut into full windows; what is left of each document goes, longest
 first, into the open window that it fills most tightly. The tightest window is found in a segment tree
-indexed by remaining capacity. Pieces are dealt over groups by a hash of document and start, so that no task
-holds more than a bounded number of pieces; a group wastes at most its last windows.
+indexed by remaining capacity. Pieces are dealt over groups by their numbers in the written table, so that no task
+holds more than a bounded number of pieces, however often a row repeats; a group wastes at most its last windows.
+
+Ids are those that the tokenizers library gives without adding special tokens: added tokens of the vocabulary file, as <|endoftext|>,
+are found in a text first, and what lies between them is encoded by itself.
 
 Defined results: a null or empty text is a document of the closing id alone; repeated rows are packed once
-each; a null doc_id is a document like any other; an empty table gives no rows; added tokens of the vocabulary file,
-as <|endoftext|>, are plain text unless added_tokens is set, and with it get the ids that the library gives by default.
+each; a null doc_id is a document like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +53,9 @@ class JsonVocabulary:
         for token, at in model["vocab"].items():
             if all(c in byte_of for c in token):
                 ranks[bytes(byte_of[c] for c in token)] = at
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError("the file's merges are not in the order of its vocabulary")
         self.encoding = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.added_tokens = file.get("added_tokens") or []
         self.normalizes = bool(file.get("normalizer"))
@@ -86,13 +91,9 @@ class JsonVocabulary:
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian bytes, by cached pieces.
-
-    With added_tokens, the file's added tokens are found in a text first, as the library does by default, and what lies
-    between them is encoded by itself.
-    """
+    """Ids of whole texts as little-endian bytes, by cached pieces; without added_tokens those of the file are plain text."""
 
-    def __init__(self, path: str, pattern: str, added_tokens: bool = False) -> None:
+    def __init__(self, path: str, pattern: str, added_tokens: bool = True) -> None:
         self.vocabulary = JsonVocabulary(path, pattern)
         self.splitter = self.vocabulary.splitter() if added_tokens else None
         self.cache = PieceCache(self.vocabulary.encode_pieces)
@@ -163,7 +164,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int = 0, added_tokens: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of each document's full windows and remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +190,13 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 0, per_group: int = PIECES_PER_GROUP, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end_id: int = 0, per_group: int = PIECES_PER_GROUP, added_tokens: bool = True) -> DataFrame:
     """Pieces of docs with sequence_id and offset: each id of each document lies in exactly one piece."""
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
     cut = work.save(pieces(docs, path, pattern, capacity, end_id, added_tokens), "pieces")
     groups = max(1, -(-cut.count() // per_group))
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "ids_crc32", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")

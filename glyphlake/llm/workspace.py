@@ -12,9 +12,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one on a single machine; on a cluster an error."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

@@ -66,7 +66,6 @@ def test_long_rows_merge_like_short_ones():
 def test_packing(spark):
     texts = [*mixed(), "word " * 5000]
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     rows = packing.pack(docs(spark, texts), JSON, PATTERN, per_group=20).collect()
     ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     seen = collections.Counter()
@@ -173,6 +172,67 @@ def test_nearest_neighbours(spark):
     assert rabitq.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_queries_and_a_common_vector(spark):
+    """A query in equal rows is one query; one id with two vectors asks twice; many vectors may tie."""
+    draw = np.random.default_rng(2)
+    vectors = draw.normal(size=(600, 70)).astype(np.float32)
+    vectors[300:450] = vectors[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [rows[20], rows[20], (60, vectors[61].tolist()), rows[77]]
+    found = collections.defaultdict(list)
+    for r in rabitq.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(found) == list(range(0, 600, 20))
+    exact, ids = np.vstack((vectors, vectors[61:62])).astype(np.float64), np.append(np.arange(600), 60)
+
+    def wanted(q, own):
+        scores = exact @ q
+        return [(n + 1, int(ids[j]), scores[j]) for n, j in enumerate([j for j in np.lexsort((ids, -scores)) if ids[j] != own][:20])]
+
+    hits = total = 0
+    for q, got in found.items():
+        lists = [wanted(exact[q], q)] + ([wanted(exact[600], 60)] if q == 60 else [])
+        assert sorted(x[0] for x in got) == sorted(x[0] for y in lists for x in y)
+        best = collections.Counter(x[1] for y in lists for x in y)
+        hits += sum((best & collections.Counter(x[1] for x in got)).values())
+        total += sum(best.values())
+    assert hits / total >= 0.99
+    common = sorted(found[40])
+    assert [v for _, v, _ in common] == list(range(300, 320))
+
+
+def test_recall_on_the_real_table(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    vectors = np.stack(table["embedding"].to_pylist()).astype(np.float64)
+    ids = table["vec_id"].to_numpy()
+    found = collections.defaultdict(set)
+    for r in rabitq.search(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[at]
+        scores[at] = -np.inf
+        hits += len(found[ids[at]] & set(ids[np.argsort(-scores)[:20]].tolist()))
+    recall = hits / (20 * len(found))
+    print("recall", recall)
+    assert recall >= 0.99
+
+
+def test_packed_bits_estimate_inner_products():
+    draw = np.random.default_rng(4)
+    vectors, queries = draw.normal(size=(500, 70)), draw.normal(size=(9, 70))
+    codes, size, agree = rabitq.encode(vectors)
+    block = rabitq.CodeBlock(np.arange(500), vectors, codes, size, agree)
+    estimate, moved = block.estimate(queries)
+    signs = np.where(vectors @ rabitq.rotation(70).T > 0, 1, -1) / np.sqrt(70)
+    plain = (queries @ rabitq.rotation(70).T) @ signs.T * (size / agree)
+    assert (np.abs(estimate - plain) <= moved[:, None] * block.scale + 1e-9).all()
+    error = (estimate - queries @ vectors.T) / (np.linalg.norm(queries, axis=1)[:, None] * block.spread)
+    assert abs(error.mean()) < 0.1 and np.mean(np.abs(error) < rabitq.EPSILON) > 0.98
+
+
 def test_shards(spark):
     texts = [f"text {k}" for k in range(1500)] + ["same"] * 900 + ["pair a", "pair a", None, None, ""]
     rows = sharding.assign(docs(spark, texts)).collect()

@@ -60,7 +60,6 @@ def test_passages_go(stages):
 
 def test_packing_holds_every_token(stages):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     tokens = {i: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in rows(stages[4]).items()}
     found, windows = collections.Counter(), collections.Counter()
     for r in stages[5].collect():
