@@ -6,11 +6,14 @@ whole corpus, and only the lower confidence bound counts. A token scores the bes
 less a drift that makes ordinary text lose.
 
 Scoring. One linear scan per document finds every maximal scoring segment. Scores are put on the scale of
-extreme-value statistics (Karlin and Altschul): lambda solves E[exp(lambda s)] = 1 over the tokens of
+extreme-value statistics (Karlin and Altschul): lambda solves E[exp(lambda s)] = 1 over the scores of all tokens of
 documents that are not toxic, K is fitted to their best segments, and a segment of score s in n tokens has evidence
 lambda s - ln(K n). The evidence of all significant segments is summed and turned into a probability by a
 logistic curve that was fitted on labelled rows which the log-odds had not seen.
 
+Bounds: log-odds come from at most LABELLED_ROWS rows and are kept for at most MOST_FEATURES features, those of most toxic
+documents; token scores reach the driver as a histogram in steps of 0.001, documents as two numbers each.
+
 Defined results: null and empty texts have no segments and the score of no evidence; texts of any length are
 scanned whole; repeated rows repeat; without labels of both kinds every document has the same score.
 """
@@ -25,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphlake.llm.labelled import held_out, training_sample
@@ -33,6 +36,8 @@ from glyphlake.llm.labelled import held_out, training_sample
 WORD = re.compile(r"\w+")
 SHORTEST_PREFIX, LONGEST_PREFIX = 4, 12
 LABELLED_ROWS = 40_000
+MOST_FEATURES = 100_000
+STEPS = 1000  # of a token score, for the histogram
 LEAST_TOXIC_DOCUMENTS = 3
 PRIOR_SHARE = 0.5
 BOUND_SIGMAS = 1.64
@@ -85,6 +90,10 @@ class Scores(dict):
             self[token] = score
         return score
 
+    def trim(self) -> None:
+        if len(self) > CACHE_TOKENS:
+            self.clear()
+
 
 @dataclass
 class Model:
@@ -140,7 +149,8 @@ def _document_frequencies(docs: DataFrame, wanted: set[str] | None, by: list[str
                         found = [f for w in WORD.findall(token) for f in features(w) if wanted is None or f in wanted]
                         if len(cache) >= CACHE_TOKENS:
                             cache.clear()
-                        cache[token] = found
+                        if len(token) <= 64:
+                            cache[token] = found
                     seen.update(found)
                 counts.update(seen if not by else [(f, key) for f in seen])
             if len(counts) > 1_000_000 or (wanted is None and len(counts) > 400_000):
@@ -171,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int =
     wide = by_class.groupBy("feature").agg(*(F.sum(F.when((F.col("label") == y) & (F.col("calibrate") == c), F.col("n")).otherwise(0)).alias(f"n{y}{int(c)}") for y in (1, 0) for c in (False, True)))
     n1, n0 = (sum(sizes.get((y, c), 0) for c in (False, True)) for y in (1, 0))
     y1, y0 = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
-    # What is collected is bounded by the words of the bounded sample's toxic documents.
-    chosen = wide.where((y1 >= LEAST_TOXIC_DOCUMENTS) & (y1 / n1 > 2 * (y0 / n0))).toPandas().set_index("feature")
+    telling = wide.where((y1 >= LEAST_TOXIC_DOCUMENTS) & (y1 / n1 > 2 * (y0 / n0))).orderBy(F.desc(y1), "feature").limit(MOST_FEATURES)
+    chosen = telling.toPandas().set_index("feature").sort_index()
     wanted = set(chosen.index)
     frequency = _document_frequencies(docs, wanted, []) if wanted else None
     background = {r["feature"]: r["n"] for r in frequency.collect()} if wanted else {}
@@ -188,35 +198,63 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int =
     return Model(weights(["n10", "n11"], ["n00", "n01"], n1, n0), half.drift, half.decay, half.log_k, half.slope, half.intercept)
 
 
+def extreme_value_rate(gains: np.ndarray, counts: np.ndarray, tokens: int, drift: float) -> float:
+    """The positive lambda with E[exp(lambda s)] = 1, where counts tokens of all score gains and the others -drift."""
+    share = counts / tokens
+
+    def moment(rate: float) -> float:
+        return math.exp(-rate * drift) * (1 - share.sum()) + float((share * np.exp(np.minimum(rate * gains, 500))).sum()) - 1
+
+    low, high = 1e-6, 50.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (low, middle) if moment(middle) > 0 else (middle, high)
+    return low
+
+
+def fit_extremes(model: Model, labelled: DataFrame) -> None:
+    """Set lambda and K from the documents (text, label) that are not toxic; both stay as they are without any score."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, known = Scores(shared.value.weight), shared.value
+        histogram: Counter = Counter()
+        documents, lengths, best, tokens = 0, 0.0, 0.0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n, segments = known.segments(text or "", scores)
+                if n:
+                    documents, tokens, lengths = documents + 1, tokens + n, lengths + math.log(n)
+                    best += max((s for _, _, s in segments), default=0.0)
+                    histogram.update(round(g * STEPS) for g in map(scores.__getitem__, (text or "").lower().split()) if g > 0)
+            scores.trim()
+        rows = [(None, documents, tokens, lengths, best), *((at, n, 0, 0.0, 0.0) for at, n in histogram.items())]
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["at", "n", "tokens", "lengths", "best"])
+
+    found = labelled.where("label = 0").select("text").mapInArrow(run, "at long, n long, tokens long, lengths double, best double")
+    found = found.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("n", "tokens", "lengths", "best"))).toPandas()
+    whole, gains = found[found["at"].isna()], found[found["at"].notna()]
+    tokens = int(whole["tokens"].sum())
+    if tokens and len(gains):
+        model.decay = extreme_value_rate(gains["at"].to_numpy(np.float64) / STEPS, gains["n"].to_numpy(np.float64), tokens, model.drift)
+        documents = float(whole["n"].sum())
+        model.log_k = float(model.decay * whole["best"].sum() / documents - 0.5772156649 - whole["lengths"].sum() / documents)
+
+
 def _calibrate(model: Model, labelled: DataFrame) -> None:
+    """Set lambda and K, and then the curve from evidence to probability, from the documents (text, label)."""
+    fit_extremes(model, labelled)
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model.weight)
+        scores = Scores(shared.value.weight)
         for batch in batches:
-            found = [model.segments(t or "", scores) for t in batch.column(0).to_pylist()]
-            gains = [[s for _, _, s in segments] for _, segments in found]
-            yield pa.record_batch([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array(gains, pa.list_(pa.float64()))], names=["label", "n", "gains"])
-
-    rows = labelled.select("text", "label").mapInArrow(run, "label int, n long, gains array<double>").collect()
-    clean = [r for r in rows if not r["label"] and r["n"]]
-    tokens = sum(r["n"] for r in clean)
-    gains = np.array([g for r in clean for g in r["gains"]], dtype=np.float64)
-    if len(gains):
-
-        def moment(rate: float) -> float:
-            lost = np.exp(-rate * model.drift) * max(0.0, 1 - len(gains) / tokens)
-            return lost + np.exp(np.minimum(rate * gains, 500)).sum() / tokens - 1
-
-        low, high = 1e-3, 20.0
-        for _ in range(60):
-            middle = (low + high) / 2
-            low, high = (low, middle) if moment(middle) > 0 else (middle, high)
-        model.decay = low
-        best = np.array([max(r["gains"], default=0.0) for r in clean])
-        lengths = np.log([r["n"] for r in clean])
-        model.log_k = float(model.decay * best.mean() - 0.5772156649 - lengths.mean())
-    x = np.array([math.log1p(model.evidence(r["n"], [(0, 0, g) for g in r["gains"]])) for r in rows])
-    y = np.array([float(r["label"]) for r in rows])
-    model.slope, model.intercept = _logistic(x, y)
+            worth = [shared.value.evidence(*shared.value.segments(t or "", scores)) for t in batch.column(0).to_pylist()]
+            scores.trim()
+            yield pa.record_batch([batch.column(1), pa.array(worth, pa.float64())], names=["label", "evidence"])
+
+    rows = labelled.select("text", "label").mapInArrow(run, "label int, evidence double").toPandas().sort_values(["label", "evidence"])
+    model.slope, model.intercept = _logistic(np.log1p(rows["evidence"].to_numpy(np.float64)), rows["label"].to_numpy(np.float64))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -239,14 +277,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, begin, end, score, evidence): every significant toxic passage, in white-space tokens of the text."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model.weight)
+        scores, known = Scores(shared.value.weight), shared.value
         for batch in batches:
             owner, rows = [], []
+            scores.trim()
             for k, text in enumerate(batch.column(1).to_pylist()):
-                n, segments = model.segments(text or "", scores)
+                n, segments = known.segments(text or "", scores)
                 for b, e, s in segments:
-                    if (worth := model.evidence(n, [(b, e, s)])) > 0:
+                    if (worth := known.evidence(n, [(b, e, s)])) > 0:
                         owner.append(k)
                         rows.append((b, e, s, worth))
             yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names=["doc_id", "begin", "end", "score", "evidence"])
@@ -254,16 +295,16 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, begin long, end long, score double, evidence double")
 
 
-def probability_of(model: Model) -> Callable[[Column], Column]:
+def probability_of(model: Model, spark: SparkSession | None = None) -> Callable[[Column], Column]:
     """A column function from texts to toxicity probabilities; only the text travels to Python."""
+    shared = (spark or SparkSession.active()).sparkContext.broadcast(model)  # at most MOST_FEATURES weights
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scores = Scores(model.weight)
+        scores, known = Scores(shared.value.weight), shared.value
         for texts in batches:
-            if len(scores) > CACHE_TOKENS:
-                scores.clear()
-            yield pa.array([model.probability(model.evidence(*model.segments(t or "", scores))) for t in texts.to_pylist()], pa.float64())
+            scores.trim()
+            yield pa.array([known.probability(known.evidence(*known.segments(t or "", scores))) for t in texts.to_pylist()], pa.float64())
 
     return run
 
@@ -271,5 +312,5 @@ def probability_of(model: Model) -> Callable[[Column], Column]:
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels)
-    scored = docs.select("doc_id", probability_of(model)(F.col("text")).alias("score"))
+    scored = docs.select("doc_id", probability_of(model, docs.sparkSession)(F.col("text")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -534,6 +534,36 @@ def test_maximal_segments_are_ruzzo_and_tompas():
         assert [(b, e) for b, e, _ in toxicity.maximal_segments(at, [scores[k] for k in at], 1.0)] == plain(scores)
 
 
+def test_extreme_value_law_of_known_scores(spark):
+    """Tokens that score 4 with probability 0.01 and -0.15 else: lambda solves the textbook equation, maxima follow the law."""
+    draw = random.Random(30)
+    texts = [" ".join("bad" if draw.random() < 0.01 else "fine" for _ in range(200)) for _ in range(3000)]
+    labelled_rows = spark.createDataFrame([(t, 0) for t in texts] + [("bad " * 50, 1), (None, 0), ("", 0)], "text string, label int")
+    model = toxicity.Model(weight={"bad$": 4.0}, drift=0.15)
+    toxicity.fit_extremes(model, labelled_rows.repartition(3))
+    share = sum(t.split().count("bad") for t in texts) / (200 * len(texts))
+    assert abs(share * np.exp(4 * model.decay) + (1 - share) * np.exp(-0.15 * model.decay) - 1) < 1e-6
+    assert abs(model.decay - 0.54) < 0.03
+    scores = toxicity.Scores(model.weight)
+    best = np.array([max((s for _, _, s in model.segments(t, scores)[1]), default=0.0) for t in texts])
+    excess = model.decay * best - model.log_k - np.log(200)
+    for at in (1.0, 2.0, 3.0):
+        assert abs((excess > at).mean() - (1 - np.exp(-np.exp(-at)))) < 0.08
+    same = toxicity.Model(weight={"other$": 1.0})
+    toxicity.fit_extremes(same, labelled_rows)
+    assert (same.decay, same.log_k) == (1.0, 0.0)
+
+
+def test_repeated_rows_score_alike(spark):
+    frame, labels, _ = labelled_docs(spark, 200)
+    twice = frame.unionByName(frame.where("doc_id < 50"))
+    for module in (quality, toxicity):
+        found = collections.defaultdict(set)
+        for r in module.score(twice, labels).collect():
+            found[r["doc_id"]].add(r["score"])
+        assert len(found) == 203 and all(max(x) - min(x) < 1e-5 for x in found.values())
+
+
 def test_toxic_passages(spark):
     model = toxicity.Model(weight={"bad$": 4.0}, drift=0.5)
     text = "fine " * 30 + "bad bad word bad " + "fine " * 30
