@@ -272,6 +272,26 @@ def test_all_rows_linked_stay_with_their_groups(spark):
     assert all(len(s) == 1 for s in shards.values())
 
 
+def test_groups_below_a_shard_are_whole_and_partitions_do_not_matter(spark):
+    """Many groups of many sizes, null and empty texts, and repeated rows."""
+    draw = random.Random(31)
+    texts = [None, None, "", "", *(f"g{k}" for k in range(60) for _ in range(draw.randint(1, 30)))]
+    texts += [f"t{k}" for k in range(2400 - len(texts))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5])] * 3 + [(None, "n")] * 2
+    frame = spark.createDataFrame(rows, SCHEMA)
+    results = []
+    for parts in (1, 5):
+        out = sharding.assign(frame.repartition(parts)).collect()
+        results.append(sorted((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in out))
+        counts = collections.Counter(r["shard"] for r in out)
+        assert max(counts.values()) - min(counts.values()) <= 1
+        of = collections.defaultdict(set)
+        for r in out:
+            of[r["text_crc32"] if r["doc_id"] not in (0, 1) else "null"].add(r["shard"])
+        assert all(len(x) == 1 for x in of.values())
+    assert results[0] == results[1]
+
+
 def test_links_inside_a_group_over_one_shard(spark):
     """A ring of 40 cliques: one component, which the rounds must cut between cliques and not through them."""
     frame = docs(spark, [f"t {k}" for k in range(400)]).repartition(1).sortWithinPartitions("doc_id")
