@@ -625,3 +625,58 @@ def test_another_licence_is_not_confirmed(text, wrong):
 @pytest.mark.parametrize("text, name", [("Licensed under the Apache License, version 2", "Apache-2.0"), ("This work is licenced under the GNU General Public License, version 3.0", "GPL-3.0")])
 def test_spellings_of_one_licence_are_confirmed(text, name):
     assert [n["license"] for n in licenses.Scanner(licenses.TEMPLATES).scan(f"{text}. More words.")[1]] == [name]
+
+
+def test_every_template_is_found_whole_and_with_small_changes(spark):
+    """Each licence in the middle of other words, as it is, in lower case over several lines, and with one plain word changed."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    plain = {"software", "files", "materials", "program", "file", "following", "work", "released", "warranty", "form", "extent"}
+    for name, text in licenses.TEMPLATES.items():
+        if licenses.HOLDER in text:
+            continue
+        changed = text.split()
+        at = next((k for k, w in enumerate(changed) if w.lower().strip(".,") in plain and k > 5), None)
+        forms = [text, text.lower().replace(" ", "\n  ", 5)]
+        if at is not None and len(changed) >= licenses.LONG:
+            forms.append(" ".join([*changed[:at], "thing", *changed[at + 1 :]]))
+        for k, form in enumerate(forms):
+            found = [n["license"] for n in scanner.scan(f"Before it stand words. {form} After it stand more.")[1]]
+            # A shorter notice of the same licence without a wrong word goes before a longer one with one.
+            assert name in found if k < 2 else name.split("-")[0] in [n.split("-")[0] for n in found], (name, form[:60], found)
+
+
+def brute_notices(text):
+    """Every run of words of a template's length, judged one by one: the names that any of them is confirmed as."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    words = licenses.words_of(text)
+    out = set()
+    for length in sorted({len(w) for w in scanner.words.values()}):
+        for k in range(len(words) - length + 1):
+            judged = scanner.judge(text[words[k][1] : words[k + length - 1][2]])
+            if judged and judged[2] == 0:
+                out.add((judged[0], words[k][1], words[k + length - 1][2]))
+    return out
+
+
+def test_notices_are_those_of_a_scan_of_all_blocks(spark):
+    draw = random.Random(40)
+    names = [n for n, t in licenses.TEMPLATES.items() if licenses.HOLDER not in t and len(t) < 200]
+    for _ in range(4):
+        parts = []
+        for _ in range(3):
+            parts += [" ".join(draw.choice(["the", "work", "is", "under", "license", "of", "house"]) for _ in range(8)), licenses.TEMPLATES[draw.choice(names)]]
+        text = ". ".join(parts)
+        exact = brute_notices(text)
+        for notice in licenses.Scanner(licenses.TEMPLATES).scan(text)[1]:
+            if not notice["differences"]:
+                assert (notice["license"], notice["start"], notice["stop"]) in exact
+        found = licenses.Scanner(licenses.TEMPLATES).scan(text)[1]
+        for name, begin, end in exact:  # each exact one is reported or lies below one that is
+            assert any(n["start"] < end and begin < n["stop"] for n in found), name
+
+
+def test_license_rows_repeat_and_long_texts_are_scanned(spark):
+    long = "z " * 150_000 + "Released under the MIT License. " + "y " * 150_000
+    rows = [(1, long), (1, long), (2, "Released under the MIT License. Released under the MIT License.")]
+    found = licenses.summary(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["licenses"], len(r["spans"].split(","))) for r in found) == [(1, "MIT", 1), (1, "MIT", 1), (2, "MIT", 2)]
