@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions.charclass import SPACE
 
+# Marks that scoring leaves out, line ends, and the letters of a headword.
 DIACRITICS = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{08E4}-\x{08FF}]"
 HONORIFICS = r"[\x{0610}-\x{0615}]"
 LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{0085}\x{2028}\x{2029}]"
@@ -121,11 +122,16 @@ def sampled_pages(n: Column, k: int = 10) -> Column:
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two word arrays: each distinct word becomes one character, and Spark's levenshtein does the rest.
 
-    Holds for up to 20,000 distinct words a pair.
+    There are characters for a million distinct words a pair; more are an error.
     """
     known = F.array_distinct(F.concat(a, b))
-    as_text = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(known, w)), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(as_text(a), as_text(b))
+
+    def char(word: Column) -> Column:
+        at = F.array_position(known, word) + 0x100
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(at < 0xD800, at).otherwise(at + 0x800)), 8, "0")), "UTF-32")
+
+    as_text = lambda ws: F.array_join(F.transform(ws, char), "")
+    return F.when(F.size(known) > 1_000_000, F.raise_error(F.lit("more than a million distinct words in a pair")).cast("int")).otherwise(F.levenshtein(as_text(a), as_text(b)))
 
 
 def iso_utc(ts: Column) -> Column:

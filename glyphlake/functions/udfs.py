@@ -85,8 +85,8 @@ def join_splits(script: list[tuple[str, str | None, str | None]]) -> list[tuple[
 
 @F.arrow_udf(T.ArrayType(_OP))
 def align(refs: pa.Array, hyps: pa.Array) -> pa.Array:
-    """Edit scripts of word arrays; null where either is null."""
-    made = [None if r is None or h is None else [{"op": o, "ref": a, "hyp": b} for o, a, b in edit_script(r, h)] for r, h in zip(refs.to_pylist(), hyps.to_pylist())]
+    """Edit scripts of word arrays, with splits joined; null where either is null."""
+    made = [None if r is None or h is None else [{"op": o, "ref": a, "hyp": b} for o, a, b in join_splits(edit_script(r, h))] for r, h in zip(refs.to_pylist(), hyps.to_pylist())]
     kind = pa.struct([("op", pa.string()), ("ref", pa.string()), ("hyp", pa.string())])
     return pa.array(made, pa.list_(kind))
 

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphlake.operators.shared import unused
+
 
 def by_gaps(df: DataFrame, by: list[str], position: str, gap: float | Column, name: str = "row_id", ties: tuple[str | Column, ...] = ()) -> DataFrame:
     """df with the number, from 0, of the cluster a row is in: a new one starts where a position is more than gap after the one before."""
     order = Window.partitionBy(*by).orderBy(position, *ties)
     start = F.coalesce((F.col(position) - F.lag(position).over(order) > gap).cast("int"), F.lit(0))
-    return df.withColumn("_start", start).withColumn(name, F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_start")
+    (begin,) = unused(df, "start")
+    return df.withColumn(begin, start).withColumn(name, F.sum(begin).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop(begin)
 
 
 def by_change(df: DataFrame, by: list[str], order: list[str | Column], value: Column, name: str = "run_id") -> DataFrame:
     """df with the number, from 0, of the maximal run of rows with equal value that a row is in."""
     window = Window.partitionBy(*by).orderBy(*order)
-    changed = df.withColumn("_value", value)
-    changed = changed.withColumn("_start", F.coalesce((~F.col("_value").eqNullSafe(F.lag("_value").over(window))).cast("int"), F.lit(0)))
+    kind, begin = unused(df, "value", "start")
+    changed = df.withColumn(kind, value)
+    changed = changed.withColumn(begin, F.coalesce((~F.col(kind).eqNullSafe(F.lag(kind).over(window))).cast("int"), F.lit(0)))
     first = F.row_number().over(window) == 1
-    changed = changed.withColumn("_start", F.when(first, 0).otherwise(F.col("_start")))
-    return changed.withColumn(name, F.sum("_start").over(window.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_start", "_value")
+    changed = changed.withColumn(begin, F.when(first, 0).otherwise(F.col(begin)))
+    return changed.withColumn(name, F.sum(begin).over(window.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop(begin, kind)
 
 
 def neighbour(value: Column, skip: Column, window: Window, ahead: bool) -> Column:
@@ -42,6 +46,21 @@ def nearest(marks: DataFrame, hosts: DataFrame, by: list[str], distance: Column,
     return found.select(*by, *mark_key, *kept, "_host.*")
 
 
+def nearest_on_axis(rows: DataFrame, by: list[str], position: str, key: str, mark: Column, host: Column) -> DataFrame:
+    """(by, key, host, distance): each mark with the host of its group that is nearest in position; ties go to the smaller key.
+
+    On one axis that is the last host up to the mark or the first from it on: two running maxima, no pairs.
+    """
+    at, up, down = unused(rows, "at", "up", "down")
+    found = F.when(host, F.struct(F.col(position).alias("p"), (-F.col(key)).alias("k")))
+    back = F.when(host, F.struct((-F.col(position)).alias("p"), (-F.col(key)).alias("k")))
+    ahead = Window.partitionBy(*by).orderBy(position).rangeBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*by).orderBy(F.desc(position)).rangeBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn(at, mark).withColumn(up, F.max(found).over(ahead)).withColumn(down, F.max(back).over(behind))
+    near = F.array_min(F.filter(F.array(F.struct((F.col(position) - F.col(up)["p"]).alias("d"), (-F.col(up)["k"]).alias("h")), F.struct((-F.col(down)["p"] - F.col(position)).alias("d"), (-F.col(down)["k"]).alias("h"))), lambda x: x["d"].isNotNull()))
+    return seen.where(F.col(at)).withColumn(up, near).where(F.col(up).isNotNull()).select(*by, key, F.col(up)["h"].alias("host"), F.col(up)["d"].alias("distance"))
+
+
 def inside_or_edge(x0: Column, x1: Column, host_x0: Column, host_x1: Column) -> Column:
     """0 if a mark's middle is within a host, else how far it is from the host's nearer edge."""
     middle = (x0 + x1) / 2

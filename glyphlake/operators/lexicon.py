@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.functions import textfn as X
 from glyphlake.functions.charclass import SPACE
+from glyphlake.operators.ranking import group_index
+from glyphlake.operators.shared import unused
 
 # Vowel letters that stand alone as section heads.
 SECTION_VOWELS = ("ओ", "अ", "ए", "ऐ", "औ", "आ", "इ", "ई", "उ", "ऊ")
@@ -30,9 +32,9 @@ def parse_lines(pages: DataFrame, letter: str = X.DEVANAGARI_CLASS, vowels: tupl
 
 
 def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
-    """rows with batch: consecutive numbers of `size` rows each within a group, in order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("int"))
+    """rows with batch: consecutive numbers of `size` rows each within a group, in order, which must tell a group's rows apart."""
+    (place,) = unused(rows, "place")
+    return group_index(rows, by, order, place).withColumn("batch", F.floor(F.col(place) / size).cast("int")).drop(place)
 
 
 def payload() -> Column:
@@ -42,9 +44,10 @@ def payload() -> Column:
 
 def apply_results(rows: DataFrame, results: DataFrame) -> DataFrame:
     """rows with nastaliq_pass2 from results (id, nastaliq, pos); of repeated ids the last counts, ids without an answer get ""."""
-    last = results.groupBy("id").agg(F.max_by("nastaliq", "pos").alias("_answer"))
-    joined = rows.drop("nastaliq_pass2").join(last, F.col("entry_id") == F.col("id"), "left")
-    return joined.withColumn("nastaliq_pass2", F.coalesce("_answer", F.lit(""))).drop("id", "_answer")
+    known, answer = unused(rows, "known", "answer")
+    last = results.groupBy(F.col("id").alias(known)).agg(F.max_by("nastaliq", "pos").alias(answer))
+    joined = rows.drop("nastaliq_pass2").join(last, F.col("entry_id") == F.col(known), "left")
+    return joined.withColumn("nastaliq_pass2", F.coalesce(answer, F.lit(""))).drop(known, answer)
 
 
 def verification(rows: DataFrame, refined: DataFrame, pages: DataFrame, n: int) -> DataFrame:
@@ -52,11 +55,12 @@ def verification(rows: DataFrame, refined: DataFrame, pages: DataFrame, n: int)
 
     A page asked for twice gives its rows twice.
     """
-    good = refined.where(F.coalesce("nastaliq_pass2", F.lit("")) != "").select("entry_id", F.col("nastaliq_pass2").alias("_pass2")).dropDuplicates(["entry_id"])
+    (second,) = unused(rows, "second")
+    good = refined.where(F.coalesce("nastaliq_pass2", F.lit("")) != "").select("entry_id", F.col("nastaliq_pass2").alias(second)).groupBy("entry_id").agg(F.min(second).alias(second))
     asked = rows.join(pages, "page").orderBy("ord", "line").limit(n)
     joined = asked.drop("nastaliq_pass2").join(good, "entry_id", "left")
-    value = F.coalesce("_pass2", "nastaliq_pass1")
-    return joined.withColumns({"nastaliq_pass2": F.coalesce("_pass2", F.lit("")), "nastaliq_verified": value, "verify_status": F.lit(""), "verify_notes": F.lit("")}).drop("_pass2")
+    value = F.coalesce(second, "nastaliq_pass1")
+    return joined.withColumns({"nastaliq_pass2": F.coalesce(second, F.lit("")), "nastaliq_verified": value, "verify_status": F.lit(""), "verify_notes": F.lit("")}).drop(second)
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions import textfn as X
 from glyphlake.functions.udfs import align, nfc
+from glyphlake.operators.shared import unused
 
 FAMILIES = ("composer", "gemini", "sonnet_4.6", "sonnet_5_cc")
 
@@ -62,7 +63,21 @@ def pooled(scored: DataFrame, by: Column | str) -> DataFrame:
 def latest_runs(scored: DataFrame, by: list[str], tag: str = "tag", mark: str = "v2") -> DataFrame:
     """The last run of each group: those with the mark in their tag come after those without, then by tag."""
     order = Window.partitionBy(*by).orderBy(F.contains(F.col(tag), F.lit(mark)).desc(), F.desc(tag))
-    return scored.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    (rank,) = unused(scored, "rank")
+    return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+
+
+def gold_positions(pairs: DataFrame) -> DataFrame:
+    """(page_id, tag, gold_pos, ref, hyp): what each run has for each gold word, null where it has nothing."""
+    steps = F.filter(align("gold", "hyp"), lambda s: s["ref"].isNotNull())
+    return pairs.select("page_id", "tag", F.posexplode(steps).alias("gold_pos", "step")).select("page_id", "tag", "gold_pos", "step.ref", "step.hyp")
+
+
+def two_models(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Extension: the runs of two tags, each aligned with the gold words by itself, as agreement takes them."""
+    found = gold_positions(pairs.where(F.col("tag").isin(a, b)))
+    one = found.where(F.col("tag") == a).select("page_id", "gold_pos", "ref", F.col("hyp").alias("a"))
+    return one.join(found.where(F.col("tag") == b).select("page_id", "gold_pos", F.col("hyp").alias("b")), ["page_id", "gold_pos"])
 
 
 def agreement(gold_scripts: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphlake.functions import charclass as C
 from glyphlake.operators.ranking import global_index
+from glyphlake.operators.shared import unused, written
 
 
 def classify(counts: dict[str, Column], fonts: Column, english: Column) -> Column:
@@ -69,16 +70,23 @@ def font_order(spans: DataFrame, by: str) -> DataFrame:
 
 
 def mark_primary(df: DataFrame, digest: str, path: str, *ties: str) -> DataFrame:
-    """df with is_primary: 1 for the shortest path of each digest, then the smallest."""
-    order = Window.partitionBy(digest).orderBy(F.length(path), path, *ties)
-    return df.withColumn("is_primary", (F.row_number().over(order) == 1).cast("int"))
+    """df with is_primary: 1 for the shortest path of each digest, then the smallest; rows alike in all of that are alike in this.
+
+    The least of each digest that occurs twice is a partial aggregate, written before rows are joined with it, so that Spark can
+    split the join on a digest of very many rows. Rows without a digest are all primary.
+    """
+    first, known = unused(df, "first", "known")
+    rank = F.struct(F.length(path).alias("n"), F.col(path).alias("path"), *(F.col(t).alias(f"tie{k}") for k, t in enumerate(ties)))
+    least = df.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias(known)).agg(F.min(rank).alias(first), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    joined = df.join(written(least, "primaries"), F.col(digest) == F.col(known), "left")
+    return joined.withColumn("is_primary", (F.col(first).isNull() | (F.col(first) == rank)).cast("int")).drop(first, known)
 
 
 def duplicate_groups(df: DataFrame, digest: str, position: str) -> DataFrame:
     """(digest, dup_group): D01, D02, ... for digests of two rows or more, in the order they are first seen."""
-    seen = df.groupBy(digest).agg(F.min(position).alias("_first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    numbered = global_index(seen, ["_first"], "_n")
-    return numbered.select(digest, "copies", F.format_string("D%02d", F.col("_n") + 1).alias("dup_group"))
+    seen = df.groupBy(F.col(digest).alias("digest")).agg(F.min(position).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    numbered = global_index(seen, ["first"], "n")
+    return numbered.select(F.col("digest").alias(digest), "copies", F.format_string("D%02d", F.col("n") + 1).alias("dup_group"))
 
 
 def duplicate_totals(groups: DataFrame, pages: str) -> DataFrame:
@@ -114,13 +122,16 @@ def extract_targets(manifest: DataFrame) -> DataFrame:
 
 def gate(pages: DataFrame, doc: str, page: str, text: str, most: float = 0.08) -> DataFrame:
     """Rows of the documents whose garbage ratio over pages 5 to 14 (0-based; the last page if fewer) is at most `most`."""
-    every = Window.partitionBy(doc)
-    n = F.count("*").over(every)
-    sliced = (F.col(page) >= F.least(F.lit(5), n - 1)) & (F.col(page) < F.least(F.lit(15), n))
     visible = C.count_of(F.col(text), f"[^{C.SPACE}]")
     bad = F.round(C.garbage_ratio(F.col(text)) * visible)
-    share = F.sum(F.when(sliced, bad)).over(every) / F.sum(F.when(sliced, visible)).over(every)
-    return pages.withColumn("_share", F.coalesce(share, F.lit(0.0))).where(F.col("_share") <= most).drop("_share")
+    # Only three numbers of a page are gathered; texts meet the verdict on their document afterwards.
+    counts = pages.select(F.col(doc).alias("doc"), F.struct(F.col(page).alias("page"), bad.alias("bad"), visible.alias("visible")).alias("of"))
+    told = counts.groupBy("doc").agg(F.count("*").alias("n"), F.collect_list("of").alias("of"))
+    sliced = F.filter("of", lambda p: (p["page"] >= F.least(F.lit(5), F.col("n") - 1)) & (p["page"] < F.least(F.lit(15), F.col("n"))))
+    total = lambda what: F.aggregate("sliced", F.lit(0.0), lambda t, p: t + p[what])
+    told = told.withColumn("sliced", sliced).withColumn("share", F.when(total("visible") > 0, total("bad") / total("visible")).otherwise(0.0))
+    clean = written(told.where(F.col("share") <= most).select("doc"), "clean")
+    return pages.join(clean, F.col(doc).eqNullSafe(F.col("doc")) if doc != "doc" else pages[doc].eqNullSafe(clean["doc"]), "left_semi")
 
 
 def assemble(pages: DataFrame, doc: str, page: str, text: str, between: str = "\n\n") -> DataFrame:

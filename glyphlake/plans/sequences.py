@@ -30,17 +30,20 @@ LINE_FILTER_TOKENS = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(st
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's first forty words next to those of the turn before it, as a page's gold and a run of some model."""
-    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("w", F.slice(F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""), 1, 40))
+    """Each turn's words next to those of the turn before it, as a page's gold and a run of some model."""
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("w", F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""))
     before = F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))
     tag = F.concat(F.when(F.col("turn") % 3 == 0, "gemini_").when(F.col("turn") % 3 == 1, "sonnet_4.6_").otherwise("composer_"), F.when(F.col("turn") % 2 == 0, "v2").otherwise("v1"))
     return turns.select("conv_id", "turn", tag.alias("tag"), before.alias("gold"), F.col("w").alias("hyp")).where("gold is not null")
 
 
-TURNS = """WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')[1:40] AS h FROM conversations),
+#: Distances by a table whose rows are built one after another.
+TURNS = """WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS h FROM conversations),
   p AS (SELECT conv_id, turn, (CASE WHEN turn % 3 = 0 THEN 'gemini_' WHEN turn % 3 = 1 THEN 'sonnet_4.6_' ELSE 'composer_' END) || (CASE WHEN turn % 2 = 0 THEN 'v2' ELSE 'v1' END) AS tag, lag(h) OVER (PARTITION BY conv_id ORDER BY turn) AS r, h FROM t),
-  d AS (SELECT conv_id, turn, tag, len(r) AS gold_words, len(h) AS hyp_words, list_reduce(r, lambda st, w: list_transform(range(0, len(h)+1), lambda j: (j + list_min(list_transform(range(0, j+1), lambda k: (case when k=0 then st[1]::int + 1 else least(st[k+1]::int + 1, st[k]::int + (case when h[k]=w then 0 else 1 end)) end) - k)))::varchar), list_transform(range(0, len(h)+1), lambda j: j::varchar))[len(h)+1]::int AS errors FROM p WHERE r IS NOT NULL),
-  s AS (SELECT conv_id, turn, tag, gold_words, hyp_words, errors, CASE WHEN gold_words > 0 THEN 100.0 * errors / gold_words ELSE 0.0 END AS wer FROM d)"""
+  d AS (SELECT conv_id, turn, 0::BIGINT AS i, unnest(range(0, len(h) + 1)) AS j, unnest(range(0, len(h) + 1)) AS c FROM p WHERE r IS NOT NULL
+    UNION ALL SELECT conv_id, turn, i + 1, j, (j + min(base - j) OVER (PARTITION BY conv_id, turn ORDER BY j ROWS UNBOUNDED PRECEDING))::BIGINT
+    FROM (SELECT d.conv_id, d.turn, i, j, CASE WHEN j = 0 THEN c + 1 ELSE least(c + 1, lag(c) OVER (PARTITION BY d.conv_id, d.turn ORDER BY j) + (h[j] <> r[i + 1])::INT) END AS base FROM d JOIN p ON p.conv_id = d.conv_id AND p.turn = d.turn WHERE i < len(r))),
+  s AS (SELECT p.conv_id, p.turn, tag, len(r) AS gold_words, len(h) AS hyp_words, c::INT AS errors, CASE WHEN len(r) > 0 THEN 100.0 * c / len(r) ELSE 0.0 END AS wer FROM p JOIN d ON d.conv_id = p.conv_id AND d.turn = p.turn AND d.i = len(r) AND d.j = len(h) WHERE r IS NOT NULL)"""
 
 
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +74,20 @@ WER_BEST_RUN = TURNS + """, f AS (SELECT *, CASE WHEN starts_with(tag, 'composer
 
 
 def edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many errors the edit scripts have, by run: the Python path against the same SQL distance."""
-    steps = _turns(spark, sf_dir).select("conv_id", "turn", F.filter(align("gold", "hyp"), lambda s: s["op"] != "eq").alias("s"))
-    return steps.select("conv_id", "turn", F.size("s").alias("errors"))
+    """The edit script of each run, and how many errors it has."""
+    steps = _turns(spark, sf_dir).select("conv_id", "turn", align("gold", "hyp").alias("s"))
+    told = F.array_join(F.transform("s", lambda s: F.concat_ws(":", s["op"], F.coalesce(s["ref"], F.lit("")), F.coalesce(s["hyp"], F.lit("")))), "|")
+    return steps.select("conv_id", "turn", F.size(F.filter("s", lambda s: s["op"] != "eq")).alias("errors"), F.md5(told).alias("script"))
 
 
-EDIT_SCRIPTS = TURNS + " SELECT conv_id, turn, errors FROM s"
+#: Walks back through the table of distances; of several ways a deletion goes first, then an insertion.
+SCRIPTS = TURNS + """, rows AS (SELECT conv_id, turn, i, list(c ORDER BY j) AS c FROM d GROUP BY conv_id, turn, i),
+  b AS (SELECT conv_id, turn, len(r)::BIGINT AS i, len(h)::BIGINT AS j, 0 AS step, '' AS op, '' AS ref, '' AS hyp FROM p WHERE r IS NOT NULL
+    UNION ALL SELECT conv_id, turn, CASE WHEN k.op = 'ins' THEN k.i ELSE k.i - 1 END, CASE WHEN k.op = 'del' THEN k.j ELSE k.j - 1 END, step + 1, k.op, CASE WHEN k.op = 'ins' THEN '' ELSE r[k.i] END, CASE WHEN k.op = 'del' THEN '' ELSE h[k.j] END
+    FROM (SELECT b.conv_id, b.turn, b.i, b.j, step, p.r, p.h, CASE WHEN b.i > 0 AND x.c[b.j + 1] = u.c[b.j + 1] + 1 THEN 'del' WHEN b.j > 0 AND x.c[b.j + 1] = x.c[b.j] + 1 THEN 'ins' WHEN r[b.i] = h[b.j] THEN 'eq' ELSE 'sub' END AS op
+      FROM b JOIN p ON p.conv_id = b.conv_id AND p.turn = b.turn JOIN rows x ON x.conv_id = b.conv_id AND x.turn = b.turn AND x.i = b.i LEFT JOIN rows u ON u.conv_id = b.conv_id AND u.turn = b.turn AND u.i = b.i - 1 WHERE b.i > 0 OR b.j > 0) k)"""
+EDIT_SCRIPTS = SCRIPTS + """, told AS (SELECT conv_id, turn, count(*) FILTER (op <> 'eq') AS errors, string_agg(op || ':' || ref || ':' || hyp, '|' ORDER BY step DESC) AS script FROM b WHERE step > 0 GROUP BY conv_id, turn)
+  SELECT s.conv_id, s.turn, coalesce(told.errors, 0)::INT AS errors, md5(coalesce(script, '')) AS script FROM s LEFT JOIN told ON told.conv_id = s.conv_id AND told.turn = s.turn"""
 
 SUB = {"diacritics": r"[\x{00C0}-\x{00FF}]", "honorifics": "[!%&*#$|]", "letters": r"A-Za-z0-9_\x{00C0}-\x{00FF}", "heh": ("sdt", "HHH"), "digits": ("0123456789", "1234567890")}
 
@@ -85,8 +96,10 @@ def sub_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of neighbouring words taken as gold and found, by language."""
     words = _table(spark, sf_dir, "documents", "lang", "text").withColumn("w", F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""))
     pairs = words.select("lang", F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("g"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("h"))).alias("p"))
-    category = X.substitution_category(F.col("p.g"), F.col("p.h"), **SUB)
-    return pairs.select("lang", category.alias("category")).groupBy("lang", "category").agg(F.count("*").alias("n"))
+    # A category is found once for each distinct pair.
+    distinct = pairs.groupBy("lang", "p.g", "p.h").agg(F.count("*").alias("n"))
+    category = X.substitution_category(F.col("g"), F.col("h"), **SUB)
+    return distinct.groupBy("lang", category.alias("category")).agg(F.sum("n").alias("n"))
 
 
 SUB_CATEGORY = r"""WITH w AS (SELECT lang, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents),
@@ -97,7 +110,7 @@ SUB_CATEGORY = r"""WITH w AS (SELECT lang, list_filter(regexp_split_to_array(tex
     WHEN translate(g, '0123456789', '1234567890') = translate(h, '0123456789', '1234567890') AND g <> h THEN 'digit_system'
     WHEN regexp_replace(g, '[^A-Za-z0-9_\x{00C0}-\x{00FF}]', '', 'g') <> '' AND regexp_replace(g, '[^A-Za-z0-9_\x{00C0}-\x{00FF}]', '', 'g') = regexp_replace(h, '[^A-Za-z0-9_\x{00C0}-\x{00FF}]', '', 'g') THEN 'punct_other'
     ELSE 'letter_or_word' END AS category FROM p)
-  SELECT lang, category, count(*) AS n FROM c GROUP BY lang, category"""
+  SELECT lang, category, count(*)::BIGINT AS n FROM c GROUP BY lang, category"""
 
 
 def bounded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,9 +266,7 @@ ASOF_NEIGHBOR = """SELECT event_id, last_value(CASE WHEN event_type <> 'click' T
 def nearest_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view nearest in time to each purchase of the same user, ties to the smaller id."""
     rows = _table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    marks = rows.where("event_type = 'purchase'").select("user_id", "event_id", F.col("us").alias("mark_us"))
-    hosts = rows.where("event_type = 'view'").select("user_id", F.col("event_id").alias("host"), F.col("us").alias("host_us"))
-    found = layout.nearest(marks, hosts, ["user_id"], F.abs(F.col("mark_us") - F.col("host_us")), ["event_id"], "host")
+    found = layout.nearest_on_axis(rows, ["user_id"], "us", "event_id", F.col("event_type") == "purchase", F.col("event_type") == "view")
     return found.select("event_id", "host", F.col("distance").cast("long").alias("distance"))
 
 

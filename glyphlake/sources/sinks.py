@@ -18,7 +18,7 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def csv(df: DataFrame, path: str, schema: T.StructType, sep: str = ",") -> None:
-    _conform(df, schema).write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="")
+    _conform(df, schema).write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_log(df: DataFrame, path: str, schema: T.StructType) -> None:
