@@ -1,7 +1,11 @@
 """Training-data pipeline: rejects toxic and poor documents, near copies and recurring passages, then packs the rest.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, whatever these are beside doc_id and text.
+
+Defined results: an empty table stays empty; repeated rows are scored alike, and one of them stays where near copies go; null
+and empty texts are scored like any text and are no copies of anything; a null doc_id stays; a text from which nothing
+goes is handed on byte for byte, null as null.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold."""
-    score = toxicity.probability_of(toxicity.fit(docs, _labels(spark, sf_dir)))
+    score = toxicity.probability_of(toxicity.fit(docs, _labels(spark, sf_dir)), spark)
     return docs.where(score(F.col("text")) < TOXIC_FROM)
 
 
@@ -41,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that recur; n_chars follows the text."""
+    """Every document, without the passages that recur and the white space after them; n_chars follows the text."""
     name = substrings.unused(docs, "kept")
     found = substrings.kept(docs, name, WINDOW_WORDS)
     changed = {"text": F.col(f"{name}.text")} | ({"n_chars": F.length(f"{name}.text").cast("long")} if "n_chars" in docs.columns else {})
@@ -50,7 +54,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 1,024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added_tokens=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [

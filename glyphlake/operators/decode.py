@@ -27,6 +27,40 @@ def chars_of(pages: DataFrame) -> DataFrame:
     return chars.select("page", box[1].alias("y0"), box[0].alias("x0"), box[2].alias("x1"), "font", F.col("c.c").alias("ch"), codepoint(F.col("c.c")).alias("cp"))
 
 
+def traced_glyphs(pages: DataFrame) -> DataFrame:
+    """(page, y0, x0, x1, y1, font, gid, ucs): the glyphs of traced pages (page, spans), malformed ones left out.
+
+    A glyph is (ucs, gid, bbox) as text and numbers as they come; one whose code or id is no integer, or whose box lacks
+    a number, is malformed. A span without a font has the font "".
+    """
+    chars = pages.select("page", F.explode("spans").alias("s")).select("page", F.coalesce("s.font", F.lit("")).alias("font"), F.explode("s.chars").alias("c"))
+    box = F.col("c.bbox")
+    found = chars.select("page", *(F.get(box, F.lit(k)).alias(n) for n, k in (("y0", 1), ("x0", 0), ("x1", 2), ("y1", 3))), "font", F.col("c.gid").try_cast("int").alias("gid"), F.col("c.ucs").try_cast("int").alias("ucs"))
+    return found.dropna(subset=["y0", "x0", "x1", "y1", "gid", "ucs"])
+
+
+def overlays(marks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Extension: (page, mark, row_id) of overlay glyphs (page, mark, y) with the nearest row (page, row_id, y) of their page, ties to the first."""
+    hosts = rows.select("page", F.col("row_id").alias("host"), F.col("y").alias("row_y"))
+    found = layout.nearest(marks.select("page", "mark", "y"), hosts, ["page"], F.abs(F.col("y") - F.col("row_y")), ["mark"], "host")
+    return found.select("page", "mark", F.col("host").alias("row_id"))
+
+
+def by_neighbours(glyphs: DataFrame, rules: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Extension: glyphs (by, order, key, base) with text, by rules (key, before, after, text, rank) on the base texts beside a glyph.
+
+    The first rule by rank whose key is the glyph's and whose before and after begin the neighbours' base texts (null: any) decides; else
+    the glyph's own base text stays. Neighbours whose base text is empty are passed over.
+    """
+    skip = F.coalesce(F.col("base"), F.lit("")) == ""
+    near = Window.partitionBy(*by).orderBy(order)
+    seen = glyphs.withColumns({"prev": layout.neighbour(F.col("base"), skip, near, False), "next": layout.neighbour(F.col("base"), skip, near, True)})
+    fits = lambda want, have: F.col(want).isNull() | F.coalesce(F.col(have).startswith(F.col(want)), F.lit(False))
+    told = seen.join(rules.select("key", "before", "after", F.col("text").alias("ruled"), "rank"), "key", "left").withColumn("holds", F.col("rank").isNotNull() & fits("before", "prev") & fits("after", "next"))
+    best = told.groupBy(*by, order, "key", "base").agg(F.min_by(F.when(F.col("holds"), F.struct("ruled")), F.when(F.col("holds"), F.col("rank"))).alias("best"))
+    return best.select(*by, order, "key", "base", F.when(F.col("best").isNotNull(), F.col("best.ruled")).otherwise(F.col("base")).alias("text"))
+
+
 def debug_chars(pages: DataFrame) -> DataFrame:
     """Characters in stored order with bucket and coordinates rounded to one place."""
     spans = pages.select("page", F.posexplode("blocks").alias("b", "block")).where("block.type = 0").select("page", "b", F.posexplode("block.lines").alias("l", "line")).select("page", "b", "l", F.posexplode("line.spans").alias("s", "span"))

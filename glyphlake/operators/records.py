@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.functions.charclass import contains_any
+from glyphlake.functions.charclass import SPACE, contains_any, count_of
 from glyphlake.functions.textfn import parent_folder
 
 # Fixed values: (substrings of path and name, text) of credits, and of notes; folders with a note of their own.
@@ -40,6 +40,12 @@ def scope_label(flag: Column) -> Column:
     return F.when(flag == 1, "in_scope").otherwise("out_of_scope")
 
 
+def corpus_sizes(files: DataFrame) -> DataFrame:
+    """Extension: (file, words, replaced): words and U+FFFF marks of each file (file, text)."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), f"[{SPACE}]+"), lambda w: w != ""))
+    return files.select("file", words.cast("long").alias("words"), count_of(F.col("text"), r"\x{FFFF}").cast("long").alias("replaced"))
+
+
 def token_totals(log: DataFrame, by: list[str]) -> DataFrame:
     """Runs, and tokens in, out and in all, by group."""
     return log.groupBy(*by).agg(F.count("*").alias("runs"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")))

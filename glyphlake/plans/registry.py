@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphlake.plans import documents, sequences
+from glyphlake.plans import documents, files, glyphs, sequences
 
-QUERIES: dict = {**documents.QUERIES, **sequences.QUERIES}
-ORACLE: dict = {**documents.ORACLE, **sequences.ORACLE}
+QUERIES: dict = {**documents.QUERIES, **sequences.QUERIES, **glyphs.QUERIES, **files.QUERIES}
+ORACLE: dict = {**documents.ORACLE, **sequences.ORACLE, **glyphs.ORACLE, **files.ORACLE}

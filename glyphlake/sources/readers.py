@@ -41,6 +41,12 @@ def page_texts(spark: SparkSession, folder: str, pages: list[int] | None = None)
     return found.select(X.page_number(F.col("_metadata.file_name")).alias("page"), F.col("value").alias("text"))
 
 
+def page_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, page, text) of what sinks.page_texts writes."""
+    found = spark.read.schema("value string, doc_id string, page int").text(path, wholetext=True)
+    return found.select("doc_id", "page", F.col("value").alias("text"))
+
+
 def transcriptions(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, tag, text) of <page>/<page>_<tag>_original.txt; gold is <page>/<page>_gold.txt with a null tag."""
     found = spark.read.text([f"{folder}/*/*_original.txt", f"{folder}/*/*_gold.txt"], wholetext=True)

@@ -26,4 +26,6 @@ SEED = T.StructType([T.StructField(n, T.StringType()) for n in ("font_family", "
 _CHAR = T.StructType([T.StructField("c", T.StringType()), T.StructField("bbox", T.ArrayType(T.DoubleType()))])
 _SPAN = T.StructType([T.StructField("font", T.StringType()), T.StructField("size", T.DoubleType()), T.StructField("chars", T.ArrayType(_CHAR))])
 _LINE = T.StructType([T.StructField("spans", T.ArrayType(_SPAN))])
+_GLYPH = T.StructType([T.StructField("ucs", T.StringType()), T.StructField("gid", T.StringType()), T.StructField("bbox", T.ArrayType(T.DoubleType()))])
+TRACE = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("font", T.StringType()), T.StructField("chars", T.ArrayType(_GLYPH))])))])
 PAGE_TREE = T.StructType([T.StructField("page", T.IntegerType()), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("type", T.IntegerType()), T.StructField("lines", T.ArrayType(_LINE))])))])

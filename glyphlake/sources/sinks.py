@@ -35,7 +35,8 @@ def raw_outputs(df: DataFrame, path: str) -> None:
 
 def page_texts(df: DataFrame, path: str) -> None:
     """One text file a page, by document, with a line end at its end."""
-    df.select("doc_id", "page", newline_at_end(F.rtrim("text")).alias("text")).repartition("doc_id", "page").write.mode("overwrite").partitionBy("doc_id", "page").option("lineSep", "").text(path)
+    line = F.regexp_replace(newline_at_end(F.coalesce("text", F.lit(""))), r"\n\z", "")  # the writer ends it again
+    df.select("doc_id", "page", line.alias("text")).repartition("doc_id", "page").write.mode("overwrite").partitionBy("doc_id", "page").text(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
