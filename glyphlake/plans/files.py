@@ -39,11 +39,11 @@ TABLE_FILES = """SELECT form, doc_id::VARCHAR AS relative_path, md5(' "a", ' ||
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as page files, each with a line end at its end, read again, of them pages 1 to 3."""
     at = folder(spark, "pages")
-    sinks.page_texts(_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").where("conv_id < 60").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text"), at)
+    sinks.page_texts(_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text"), at)
     return readers.page_range(readers.page_folder(spark, at), 1, 3).select("doc_id", "page", F.md5("text").alias("text"))
 
 
-PAGE_FILES = "SELECT conv_id::VARCHAR AS doc_id, turn::INT AS page, md5(text || CASE WHEN text LIKE '%' || chr(10) THEN '' ELSE chr(10) END) AS text FROM conversations WHERE turn BETWEEN 1 AND 3 AND conv_id < 60"
+PAGE_FILES = "SELECT conv_id::VARCHAR AS doc_id, turn::INT AS page, md5(text || CASE WHEN text LIKE '%' || chr(10) THEN '' ELSE chr(10) END) AS text FROM conversations WHERE turn BETWEEN 1 AND 3"
 
 
 def provenance_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +94,9 @@ LOG_FILES = "SELECT event_type AS model, 2 * count(*) AS runs, 2 * sum(json_extr
 
 
 def output_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw outputs by page, model and version: a second write is refused, and what is not there yet is found."""
+    """Raw outputs of the pages that have a fourth turn, by page, model and version: a second write is refused, and the pages that are not there yet are found."""
     turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("string").alias("page_id"), F.col("role").alias("model"), F.lit("v1").alias("version"), "turn", "text")
-    one = turns.where("turn = 0 and cast(page_id as int) < 40").drop("turn")
+    one = turns.where("turn = 3").drop("turn")
     at = folder(spark, "outputs")
     sinks.raw_outputs(one, at)
     try:
@@ -110,7 +110,7 @@ def output_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("page_id", F.lit(refused).alias("refused"))
 
 
-OUTPUT_FILES = "SELECT DISTINCT conv_id::INT AS page_id, 1 AS refused FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id < 40)"
+OUTPUT_FILES = "SELECT DISTINCT conv_id::INT AS page_id, 1 AS refused FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 3)"
 
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
