@@ -31,7 +31,9 @@ LINE_FILTER_TOKENS = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(st
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's words next to those of the turn before it, as a page's gold and a run of some model."""
-    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("w", F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""))
+    # A number of partitions that is named stays: distances cost far more than the few bytes they are of.
+    dealt = _table(spark, sf_dir, "conversations", "conv_id", "turn", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    turns = dealt.withColumn("w", F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""))
     before = F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))
     tag = F.concat(F.when(F.col("turn") % 3 == 0, "gemini_").when(F.col("turn") % 3 == 1, "sonnet_4.6_").otherwise("composer_"), F.when(F.col("turn") % 2 == 0, "v2").otherwise("v1"))
     return turns.select("conv_id", "turn", tag.alias("tag"), before.alias("gold"), F.col("w").alias("hyp")).where("gold is not null")
