@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -175,45 +176,38 @@ class Vocabulary:
             ranks[here[some], at[some]] = self.pairs.find(least[some], ids[here[some], at[some] + 1])
 
     def _merge_long(self, word: bytes) -> np.ndarray:
-        """One long row: all places of the minimum rank merge in a round wherever that gives the same ids."""
+        """One long row by the same rule, its pairs in a heap by rank and then place, so that a merge costs the logarithm of the row."""
         ids = self.byte_id[np.frombuffer(word, dtype=np.uint8)]
-        while len(ids) > 1:
-            ranks = self.pairs.find(ids[:-1], ids[1:])
-            least = ranks.min()
-            if least == _NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            apart = np.ones(len(at), dtype=bool)
-            apart[1:] = np.diff(at) > 2
-            chosen = at if apart.all() else at[:1] if not self._run_is_safe(ids, at, least) else self._alternate(at)
-            merged = ids.copy()
-            merged[chosen] = least
-            merged = np.delete(merged, chosen + 1)
-            if len(chosen) > 1:
-                place = chosen - np.arange(len(chosen))
-                left, right = place[place > 0], place[place + 1 < len(merged)]
-                lowest = min(
-                    self.pairs.find(merged[left - 1], merged[left]).min(initial=_NONE),
-                    self.pairs.find(merged[right], merged[right + 1]).min(initial=_NONE),
-                )
-                if lowest <= least:  # a pair made by the first merge would have gone before the second
-                    merged = ids.copy()
-                    merged[at[0]] = least
-                    merged = np.delete(merged, at[0] + 1)
-            ids = merged
-        return ids
-
-    def _run_is_safe(self, ids: np.ndarray, at: np.ndarray, least: np.uint32) -> bool:
-        """Whether the merged token next to a pair not yet merged makes no pair of lower or equal rank."""
-        first = ids[at[0] : at[0] + 1]
-        return bool(self.pairs.find(np.array([least], np.uint32), first)[0] > least)
-
-    @staticmethod
-    def _alternate(at: np.ndarray) -> np.ndarray:
-        """Leftmost choice of places that do not overlap."""
-        run = np.concatenate(([0], np.cumsum(np.diff(at) != 1)))
-        begin = np.concatenate(([0], np.flatnonzero(np.diff(at) != 1) + 1))
-        return at[(np.arange(len(at)) - begin[run]) % 2 == 0]
+        n = len(ids)
+        found = self.pairs.find(ids[:-1], ids[1:])
+        where = np.flatnonzero(found != _NONE)
+        heap = (found[where].astype(np.int64) * n + where).tolist()
+        heapq.heapify(heap)
+        tokens = [self.token[k] for k in ids.tolist()]
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = found.tolist() + [int(_NONE)]  # of the token at a place and the one right of it
+        held = ids.tolist()
+
+        def pair(at: int) -> None:
+            to = right[at]
+            rank[at] = self.rank.get(tokens[at] + tokens[to], int(_NONE)) if to < n else int(_NONE)
+            if rank[at] != int(_NONE):
+                heapq.heappush(heap, rank[at] * n + at)
+
+        while heap:
+            least, at = divmod(heapq.heappop(heap), n)
+            if rank[at] != least:
+                continue
+            gone = right[at]
+            held[at], tokens[at] = least, tokens[at] + tokens[gone]
+            held[gone], rank[gone] = -1, int(_NONE)
+            right[at] = right[gone]
+            if right[at] < n:
+                left[right[at]] = at
+            pair(at)
+            if left[at] >= 0:
+                pair(left[at])
+        return np.array([k for k in held if k >= 0], dtype=np.uint32)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as little-endian bytes; each match of the pattern is encoded separately.

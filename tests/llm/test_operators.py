@@ -61,6 +61,8 @@ def test_long_rows_merge_like_short_ones():
     for _ in range(60):
         word = "".join(draw.choice("abcae") for _ in range(draw.randint(257, 900)))
         assert vocab._merge_long(word.encode()).tolist() == library.encode_ordinary(word)
+    for word in ("", "a", "ab", "a" * 1001, "ab" * 700, "aab" * 500, "éüa漢" * 300):
+        assert vocab._merge_long(word.encode()).tolist() == library.encode_ordinary(word)
 
 
 def test_packing(spark):
