@@ -12,7 +12,10 @@ A window is a run of `window` consecutive words. A word goes if a window covers
    the stretches of all documents stream through the automata of their anchors, equal ones once, and every
    phrase is found word by word. Phrases of one anchor that overfill a shard are spread over several, which its stretches all
    visit; a shard with much to read is read in slices of bounded size by as many tasks.
-4. What was found in a stretch holds wherever the stretch is. Every document is put together from the words that no found phrase covers.
+4. What was found in a stretch holds wherever the stretch is. Documents lie in blocks of about a megabyte of text, whose places are
+   fixed when their stretches are written; a block asks once for each of its distinct stretches, so a passage that
+   very many documents share is joined once a block rather than once an occurrence, and the answers meet the stretches of their block.
+   Every document is put together from the words that no found phrase covers.
 
 Counts are partial aggregates, and counts are written before anything is joined with them, so that Spark can split the join
 on a hot stretch or anchor. No group is gathered whole.
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +75,18 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def stretches(rows: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, anchor, s, n, h1, h2): the n windows from word s that share an anchor, and the hash of their words."""
+    """(k1, k2, anchor, s, n, h1, h2, block, asks): the n windows from word s that share an anchor, and the hash of their words.
+
+    block numbers the slice of rows it was read in; asks marks one of each content of a block (of a very long text, of each million words).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers.cache_clear()
+        block = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, bounds = text_bytes(batch.column(2))
             for begin, end in slices(bounds, SLICE_BYTES):
+                block += 1
                 words = hash_words(data[bounds[begin] : bounds[end]], bounds[begin : end + 1] - bounds[begin])
                 text = np.repeat(np.arange(end - begin), np.diff(words.first))
                 for at in range(0, max(0, len(text) - window + 1), CHUNK_WORDS):
@@ -95,6 +104,11 @@ def stretches(rows: DataFrame, window: int) -> DataFrame:
                     k = n.astype(np.uint64)
                     owner = own[s]
                     to = pa.array(begin + owner)
+                    h1 = mix(one[s] * _A + one[s + n - 1] * _B + k)
+                    h2 = mix(two[s] * _B + two[s + n - 1] * _A + k)
+                    order = np.lexsort((h2, h1))
+                    asks = np.ones(len(order), dtype=bool)
+                    asks[order[1:]] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
                     yield pa.record_batch(
                         [
                             batch.column(0).take(to),
@@ -102,13 +116,15 @@ def stretches(rows: DataFrame, window: int) -> DataFrame:
                             pa.array(grams[where[first]].view(np.int64)),
                             pa.array((at + s - words.first[owner]).astype(np.int32)),
                             pa.array(n.astype(np.int32)),
-                            pa.array(mix(one[s] * _A + one[s + n - 1] * _B + k).view(np.int64)),
-                            pa.array(mix(two[s] * _B + two[s + n - 1] * _A + k).view(np.int64)),
+                            pa.array(h1.view(np.int64)),
+                            pa.array(h2.view(np.int64)),
+                            pa.array(np.full(len(s), block)),
+                            pa.array(asks),
                         ],
-                        names=["k1", "k2", "anchor", "s", "n", "h1", "h2"],
+                        names=["k1", "k2", "anchor", "s", "n", "h1", "h2", "block", "asks"],
                     )
 
-    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, s int, n int, h1 long, h2 long")
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, anchor long, s int, n int, h1 long, h2 long, block long, asks boolean")
 
 
 def texts_of(sources: DataFrame, window: int) -> DataFrame:
@@ -232,6 +248,33 @@ def locate(phrases: DataFrame, streamed: DataFrame, window: int, work: Workspace
     return dealt.groupBy("shard", "slice").cogroup(visits.select("shard", "slice", "id", "text").groupBy("shard", "slice")).applyInArrow(stream, "id long, begin int, end int")
 
 
+def joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of (begin, end), ascending."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(parts):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((begin, end))
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+_STRETCH = ("anchor", "h1", "h2")
+
+
+def _place(held: pa.Table, found: pa.Table) -> pa.Table:
+    """(k1, k2, spans) of the documents of a block: what was found in its distinct stretches, at each place that holds one."""
+    known = {key: spans for *key3, spans in zip(*(found.column(c).to_pylist() for c in (*_STRETCH, "spans"))) for key in (tuple(key3),)}
+    parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    if known:
+        for k1, k2, s, *key in zip(*(held.column(c).to_pylist() for c in ("k1", "k2", "s", *_STRETCH))):
+            for part in known.get(tuple(key), ()):
+                parts.setdefault((k1, k2), []).append((s + part["begin"], s + part["end"]))
+    spans = [[{"begin": b, "end": e} for b, e in joined(p)] for p in parts.values()]
+    return pa.table({"k1": pa.array([k for k, _ in parts], pa.int64()), "k2": pa.array([k for _, k in parts], pa.int64()), "spans": pa.array(spans, _SPANS)})
+
+
 def spans(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     """(k1, k2, spans): the parts, in words, that go from each row of docs that has any; k1 and k2 are as key_columns gives them."""
     rows = docs.withColumns(dict(zip(("k1", "k2"), key_columns())))
@@ -263,8 +306,11 @@ def spans(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     work.drop(phrases, read)
     work.release()
     found = work.save(found.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).join(kinds.select("id", "anchor", "h1", "h2"), "id").drop("id"), "places")
-    placed = live.join(found, ["anchor", "h1", "h2"]).select("k1", "k2", F.transform("spans", lambda x: F.struct((F.col("s") + x["begin"]).alias("begin"), (F.col("s") + x["end"]).alias("end"))).alias("spans"))
-    out = work.save(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    asked = live.where("asks").select(*(F.col(c).alias(c) for c in ("block", *_STRETCH)))  # as columns of their own
+    answers = asked.join(found, [*_STRETCH])
+    held = live.select("block", "k1", "k2", "s", *_STRETCH).groupBy("block")
+    placed = held.cogroup(answers.groupBy("block")).applyInArrow(_place, "k1 long, k2 long, spans array<struct<begin: int, end: int>>")
+    out = work.save(placed.groupBy("k1", "k2").agg(F.first("spans").alias("spans")), "spans")  # equal rows have equal spans
     work.drop(live, kinds, found)
     work.release()
     return out

@@ -471,6 +471,22 @@ def test_small_shards_and_slices_find_the_same(spark, monkeypatch):
     assert [(found[i]["n_words"], found[i]["n_removed"], found[i]["kept_sha256"]) for i in range(len(texts))] == expected_kept(texts, 35)
 
 
+def test_a_passage_of_most_documents_is_asked_for_once_a_block(spark):
+    """One passage in 300 documents over several blocks, two of them equal rows, and documents that hold it several times."""
+    draw = random.Random(22)
+    fresh = lambda n: " ".join(f"u{draw.randint(0, 10**9)}" for _ in range(n))
+    passage = fresh(90)
+    texts = [f"{fresh(draw.randint(0, 9))} {passage} {fresh(draw.randint(0, 50))}" for _ in range(300)] + [f"{passage} {fresh(3)} {passage}", fresh(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 2
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    found = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digests(frame).collect())
+    assert found == collections.Counter((i, *x) for (i, _), x in zip(rows, expected_kept([t for _, t in rows], 35)))
+    every = substrings.stretches(frame.withColumns(dict(zip(("k1", "k2"), substrings.key_columns()))), 35)
+    kinds = every.select("block", "anchor", "h1", "h2")
+    assert every.where("asks").count() == kinds.distinct().count() < kinds.count()
+    assert substrings.joined([(5, 9), (1, 3), (8, 12), (3, 4), (20, 21)]) == [(1, 4), (5, 12), (20, 21)] and substrings.joined([]) == []
+
+
 def test_a_long_document_twice_is_many_stretches(spark):
     draw = random.Random(20)
     long = " ".join(f"w{draw.randint(0, 10**7)}" for _ in range(400_000))
