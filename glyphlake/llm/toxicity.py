@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,26 @@ def features(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in range(SHORTEST_PREFIX, min(LONGEST_PREFIX, len(word)) + 1))]
 
 
+def words_of(token: str) -> list[str]:
+    """The words of a white-space token."""
+    return [token] if token.isalnum() else WORD.findall(token)
+
+
+class Known:
+    """The features of a word that are among those wanted; few words share their first letters with any, so prefixes are rarely cut."""
+
+    def __init__(self, wanted: Collection[str]) -> None:
+        self.wanted = wanted
+        self.stems = {f[:SHORTEST_PREFIX] for f in wanted if not f.endswith("$")}
+
+    def __call__(self, word: str) -> list[str]:
+        wanted, whole = self.wanted, word + "$"
+        found = [whole] if whole in wanted else []
+        if word[:SHORTEST_PREFIX] in self.stems:
+            found += [p for k in range(SHORTEST_PREFIX, min(LONGEST_PREFIX, len(word)) + 1) if (p := word[:k]) in wanted]
+        return found
+
+
 def maximal_segments(at: list[int], gain: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score) of a sequence, after Ruzzo and Tompa.
 
@@ -82,10 +103,10 @@ class Scores(dict):
     def __init__(self, weight: dict[str, float]) -> None:
         super().__init__()
         self.weight = weight
+        self.known = Known(weight)
 
     def __missing__(self, token: str) -> float:
-        get = self.weight.get
-        score = sum((max((get(f, 0.0) for f in features(w)), default=0.0) for w in WORD.findall(token)), 0.0)
+        score = sum((max(map(self.weight.__getitem__, found)) for w in words_of(token) if (found := self.known(w))), 0.0)
         if len(token) <= 64:
             self[token] = score
         return score
@@ -133,40 +154,47 @@ def _weights(counts: dict[str, list[float]], background: dict[str, int], n_docs:
     return out
 
 
+class TokenFeatures(dict):
+    """Features of a white-space token, by a function of its words; filled on demand."""
+
+    def __init__(self, of: Callable[[str], list[str]]) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, token: str) -> list[str]:
+        found = [f for w in words_of(token) for f in self.of(w)]
+        if len(self) >= CACHE_TOKENS:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = found
+        return found
+
+
 def _document_frequencies(docs: DataFrame, wanted: set[str] | None, by: list[str]) -> DataFrame:
     """(feature, *by, n): documents with each feature, counted within each task and then over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        cache: dict[str, list[str]] = {}
+        counts: dict[tuple, Counter] = defaultdict(Counter)
+        held = TokenFeatures(features if wanted is None else Known(wanted))
         for batch in batches:
             keys = list(zip(*(batch.column(1 + k).to_pylist() for k in range(len(by))))) or [()] * batch.num_rows
             for text, key in zip(batch.column(0).to_pylist(), keys):
-                seen: set[str] = set()
-                for token in set((text or "").lower().split()):
-                    found = cache.get(token)
-                    if found is None:
-                        found = [f for w in WORD.findall(token) for f in features(w) if wanted is None or f in wanted]
-                        if len(cache) >= CACHE_TOKENS:
-                            cache.clear()
-                        if len(token) <= 64:
-                            cache[token] = found
-                    seen.update(found)
-                counts.update(seen if not by else [(f, key) for f in seen])
-            if len(counts) > 1_000_000 or (wanted is None and len(counts) > 400_000):
+                counts[key].update(set(chain.from_iterable(map(held.__getitem__, set((text or "").lower().split())))))
+            if sum(map(len, counts.values())) > (400_000 if wanted is None else 1_000_000):
                 yield _counted(counts, len(by))
-                counts = Counter()
+                counts.clear()
         yield _counted(counts, len(by))
 
     fields = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in by)
     return docs.select("text", *by).mapInArrow(run, f"feature string{fields}, n long").groupBy("feature", *by).agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: Counter, keys: int) -> pa.RecordBatch:
-    names = [k if not keys else k[0] for k in counts]
-    more = [[k[1][j] for k in counts] for j in range(keys)]
+def _counted(counts: dict[tuple, Counter], keys: int) -> pa.RecordBatch:
+    names = [f for c in counts.values() for f in c]
+    more = [[key[j] for key, c in counts.items() for _ in c] for j in range(keys)]
     kinds = [pa.int32(), pa.bool_()][:keys]
-    return pa.record_batch([pa.array(names, pa.string()), *(pa.array(m, t) for m, t in zip(more, kinds)), pa.array(list(counts.values()), pa.int64())], names=["feature", *("label", "calibrate")[:keys], "n"])
+    n = [n for c in counts.values() for n in c.values()]
+    return pa.record_batch([pa.array(names, pa.string()), *(pa.array(m, t) for m, t in zip(more, kinds)), pa.array(n, pa.int64())], names=["feature", *("label", "calibrate")[:keys], "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = LABELLED_ROWS) -> Model:

@@ -471,6 +471,18 @@ def test_small_shards_and_slices_find_the_same(spark, monkeypatch):
     assert [(found[i]["n_words"], found[i]["n_removed"], found[i]["kept_sha256"]) for i in range(len(texts))] == expected_kept(texts, 35)
 
 
+def test_known_features_are_all_features_that_are_wanted():
+    draw = random.Random(23)
+    tokens = ["".join(draw.choice("abcé_²x-日̀$") for _ in range(draw.randint(0, 16))) for _ in range(3000)]
+    words = {w for t in tokens for w in toxicity.WORD.findall(t)}
+    assert all(toxicity.words_of(t) == toxicity.WORD.findall(t) for t in tokens)
+    wanted = set(draw.sample(sorted({f for w in words for f in toxicity.features(w)}), 400))
+    known, weight = toxicity.Known(wanted), {f: 0.5 + len(f) for f in wanted}
+    assert all(known(w) == [f for f in toxicity.features(w) if f in wanted] for w in words)
+    scores = toxicity.Scores(weight)
+    assert all(scores[t] == sum(max((weight.get(f, 0.0) for f in toxicity.features(w))) for w in toxicity.WORD.findall(t)) for t in tokens)
+
+
 def test_a_passage_of_most_documents_is_asked_for_once_a_block(spark):
     """One passage in 300 documents over several blocks, two of them equal rows, and documents that hold it several times."""
     draw = random.Random(22)
