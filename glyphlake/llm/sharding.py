@@ -2,13 +2,17 @@
 
 Every shard has an exact quota of rows. Linked rows are counted against the whole of it; unlinked rows only fill what is left.
 
-1. Groups are the connected components of the links. Largest first, each goes whole to the shard that it fills most tightly.
-   Small groups are packed as bins of a hash, so the driver sees a bounded number of items.
-2. A group that fits no shard fills whole further shards one after the other, and its rest is packed as a group of its own.
-3. Inside such groups rows then ask, in rounds, to move to the shard where most of their neighbours lie. Which ones may is
-   decided by a histogram of bounded size: what fits the quotas, and exchanges of equal size. Rounds go on until no
-   fewer links are cut. Equal texts are all linked with each other alike, so no exchange gains anything there.
-4. Unlinked rows are dealt by hash over the room that is left, and one distributed sort makes the sizes exact: the rows
+1. Every linked row begins in the shard that a hash of its number names, so shards begin even.
+2. Propagation: in rounds, linked rows ask to move to the shard where most of their neighbours lie. Which ones may is decided by a
+   histogram of bounded size: what fits the quotas, and exchanges of about equal size. Equal texts are all linked with each other,
+   so the votes of a row are its group's rows in each shard, and rows of one group and shard ask alike: a round is over the
+   counts of groups, until nobody may move. Given links are followed row by row, until no fewer of them are cut.
+3. Check of the sizes: groups, the connected components of the links, take their rows to the shard that most of them came to, largest
+   first, or where that is full to the one that they fill most tightly; if tightest filling alone cuts fewer groups, it holds.
+   Small groups are placed as bins of a hash and a shard, so the driver sees a bounded number of items.
+4. A group that fits no shard fills whole further shards one after the other, and its rest is placed as a group of its own. Given links
+   inside such a group are followed in rounds once more, from these parts.
+5. Unlinked rows are dealt by hash over the room that is left, and one distributed sort makes the sizes exact: the rows
    that are over, unlinked ones and then those of the smallest groups first, fill the gaps of other shards.
 
 Rows are numbered by doc_id and text, and all choices follow from these numbers, so how a table is partitioned does not matter. The
@@ -29,7 +33,7 @@ from glyphlake.llm.components import components
 from glyphlake.llm.workspace import Workspace
 
 LARGE_PARTS = 1024  # a group over this part of a shard is packed by itself
-BINS = 4096  # for the other groups
+BINS = 1024  # for the other groups, in each shard
 COARSE, FINE = 256, 8
 PATIENCE = 4  # rounds without fewer cut links, by coin and by number, before the propagation ends
 
@@ -51,28 +55,90 @@ def facts(docs: DataFrame, work: Workspace) -> DataFrame:
     return dealt.withColumnRenamed("p", "node").drop("all", "seq")
 
 
-def grouped_equals(nodes: DataFrame, work: Workspace) -> DataFrame:
-    """nodes with group, the first row of those with the same key, and its n rows; both null for rows alone."""
-    first = work.save(nodes.groupBy("key").agg(F.min("node").alias("group"), F.count("*").alias("n")).where(F.col("n") > 1), "first")
-    return nodes.join(first, "key", "left")
+def begins(shards: int) -> Column:
+    """The shard in which a row begins."""
+    return F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
 
 
-def grouped_links(nodes: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
-    """nodes with group, the first row reachable over links, and its n rows; both null for rows without links."""
+def votes_of(shard: Column, shards: int) -> Column:
+    """How many rows of a group lie in each shard, as an aggregate."""
+    return F.array(*(F.count_if(shard == s) for s in range(shards))).alias("votes")
+
+
+def leader(shards: int) -> Column:
+    """The shard with most of a group's rows; which of equal ones, the group decides."""
+    turn = lambda s: F.pmod(s - F.xxhash64("group"), F.lit(shards))
+    ranked = F.transform("votes", lambda n, s: F.struct(n.alias("n"), (-turn(s)).alias("turn"), s.cast("int").alias("shard")))
+    return F.array_max(ranked)["shard"]
+
+
+def bin_of(limit: int) -> Column:
+    """A group of more than limit rows itself, as it is not below 0; any other's bin, which is."""
+    return F.when(F.col("n") > limit, F.col("group")).otherwise(-1 - F.pmod(F.xxhash64("group"), F.lit(BINS)))
+
+
+def gathered(groups: DataFrame, target: dict[int, int], limit: int, work: Workspace) -> DataFrame:
+    """groups (group, n, votes) of equal texts with their votes after all rounds of propagation.
+
+    Rows of a group in one shard have the same neighbours and move together, to where most rows of the group are: that is never
+    another shard later on. Each round leaves fewer such parts, so the rounds end.
+    """
+    shards = len(target)
+    groups = groups.withColumn("place", bin_of(limit))
+    turn = 0
+    while True:
+        held = groups.agg(*(F.sum(F.get("votes", F.lit(s))) for s in range(shards))).first()
+        asks = groups.withColumn("new", leader(shards)).select("place", "new", F.posexplode("votes").alias("old", "n")).where("old <> new and n > 0")
+        # At most shards x shards rows a bin and shards rows a large group, whatever the input.
+        wanted = [(r["n"], r["old"], r["new"], r["place"]) for r in asks.groupBy("old", "new", "place").agg(F.sum("n").alias("n")).collect()]
+        taken = admitted(wanted, {s: n - (held[s] or 0) for s, n in target.items()})
+        if not taken:
+            return groups.drop("place")
+        moves = defaultdict(list)
+        for old, new, place in taken:
+            moves[place, new].append(old)
+        told = F.broadcast(work.spark.createDataFrame([(p, n, sorted(olds)) for (p, n), olds in sorted(moves.items())], "place long, new int, olds array<int>"))
+        seen = groups.withColumn("new", leader(shards)).join(told, ["place", "new"], "left")
+        leaves = lambda s: F.coalesce(F.array_contains("olds", s.cast("int")), F.lit(False))
+        come = F.aggregate(F.transform("votes", lambda n, s: F.when(leaves(s), n).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, n: a + n)
+        after = F.transform("votes", lambda n, s: F.when(leaves(s), F.lit(0).cast("long")).when(s == F.col("new"), n + F.col("come")).otherwise(n))
+        turn += 1
+        groups = work.save(seen.withColumn("come", come).withColumn("votes", after).select(groups.columns), f"gathered{turn}")
+
+
+def grouped_equals(nodes: DataFrame, target: dict[int, int], limit: int, work: Workspace) -> DataFrame:
+    """nodes with group, the first row of those with the same key, its n rows and the shard that most of them come to; all null for rows alone."""
+    shards = len(target)
+    first = nodes.groupBy("key").agg(F.min("node").alias("group"), F.count("*").alias("n"), votes_of(begins(shards), shards)).where(F.col("n") > 1)
+    first = gathered(work.save(first, "first"), target, limit, work)
+    return nodes.join(work.save(first.select("key", "group", "n", leader(shards).alias("label")), "labels"), "key", "left")
+
+
+def grouped_links(nodes: DataFrame, links: DataFrame, target: dict[int, int], work: Workspace) -> DataFrame:
+    """nodes with group, the first row reachable over links, its n rows and the shard that most of them come to; all null for rows without links."""
+    shards = len(target)
     found = work.save(components(links, work).withColumnRenamed("component", "group"), "groups")
-    sizes = work.save(found.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+    state = work.save(found.select("node", begins(shards).alias("shard")), "begin")
+    held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    state = propagate(state, links, {s: n - held.get(s, 0) for s, n in target.items()}, work, "whole")
+    sizes = found.join(state, "node").groupBy("group").agg(F.count("*").alias("n"), votes_of(F.col("shard"), shards))
+    sizes = work.save(sizes.select("group", "n", leader(shards).alias("label")), "sizes")
     return nodes.join(found.join(sizes, "group"), "node", "left")
 
 
-def packed(sizes: dict[int, int], quota: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """(item, shard, first, last): where the rows of each item go, as ranges of their numbers; one range wherever a shard has room for all."""
+def packed(sizes: dict[int, int], quota: dict[int, int], labels: dict[int, int] | None = None) -> list[tuple[int, int, int, int]]:
+    """(item, shard, first, last): where the rows of each item go, as ranges of their numbers; one range wherever a shard has room for all.
+
+    An item goes to the shard of its label where that has room for all of it.
+    """
+    labels = labels or {}
     room = dict(quota)
     out = []
     for item, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
         at = 0
         while at < n:
             fits = [s for s in room if room[s] >= n - at]
-            shard = min(fits, key=lambda s: (room[s], s)) if fits else min(room, key=lambda s: (-room[s], s))
+            shard = labels[item] if labels.get(item) in fits else min(fits, key=lambda s: (room[s], s)) if fits else min(room, key=lambda s: (-room[s], s))
             taken = min(room[shard], n - at)
             out.append((item, shard, at, at + taken))
             room[shard] -= taken
@@ -133,7 +199,7 @@ def admitted(wanted: list[tuple[int, int, int, int]], room: dict[int, int]) -> l
     return taken
 
 
-def propagate(state: DataFrame, links: DataFrame, room: dict[int, int], work: Workspace) -> DataFrame:
+def propagate(state: DataFrame, links: DataFrame, room: dict[int, int], work: Workspace, label: str = "") -> DataFrame:
     """node and shard of state after all rounds, with the fewest cut links seen; room is what each shard may take more."""
     held = lambda frame: {r["shard"]: r["n"] for r in frame.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     begin = held(state)
@@ -143,7 +209,7 @@ def propagate(state: DataFrame, links: DataFrame, room: dict[int, int], work: Wo
         best = votes.groupBy("a").agg(F.max_by(F.struct("shard", "n", "near"), F.struct("n", -F.col("shard"))).alias("top"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("by_shard"), F.sum("n").alias("links"))
         own = F.coalesce(F.element_at("by_shard", F.col("shard")), F.lit(0))
         asks = best.join(state, best["a"] == state["node"]).select("node", F.col("shard").alias("old"), F.col("top.shard").alias("new"), (F.col("top.n") - own).alias("gain"), F.col("top.near").alias("near"), (F.col("links") - own).alias("cut"))
-        asks = work.save(asks.withColumn("place", F.pmod(F.xxhash64(F.least("node", "near")), F.lit(COARSE)) * FINE + F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(FINE))), f"asks{turn}")
+        asks = work.save(asks.withColumn("place", F.pmod(F.xxhash64(F.least("node", "near")), F.lit(COARSE)) * FINE + F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(FINE))), f"{label}asks{turn}")
         cut = asks.agg(F.sum("cut")).first()[0] or 0
         if least is None or cut < least:
             best_state, least, idle = state, cut, 0
@@ -161,7 +227,7 @@ def propagate(state: DataFrame, links: DataFrame, room: dict[int, int], work: Wo
         turn += 1
         if taken:
             moved = free.join(F.broadcast(work.spark.createDataFrame(taken, "old int, new int, place long")), ["old", "new", "place"]).select("node", "new")
-            state = work.save(state.join(moved, "node", "left").select("node", F.coalesce("new", "shard").alias("shard")), f"state{turn}")
+            state = work.save(state.join(moved, "node", "left").select("node", F.coalesce("new", "shard").alias("shard")), f"{label}state{turn}")
 
 
 def assign(docs: DataFrame, shards: int = 8, links: DataFrame | None = None) -> DataFrame:
@@ -172,15 +238,17 @@ def assign(docs: DataFrame, shards: int = 8, links: DataFrame | None = None) ->
     if links is not None:
         links = links.where(F.col("a") != F.col("b")).select("a", "b")
         links = work.save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    grouped = grouped_equals(nodes, work) if links is None else grouped_links(nodes, links, work)
     total = nodes.count()
     target = {s: total // shards + (s < total % shards) for s in range(shards)}
-    item = F.when(F.col("n") > total // (shards * LARGE_PARTS), F.col("group")).otherwise(-1 - F.pmod(F.xxhash64("group"), F.lit(BINS)))
-    grouped = work.save(grouped.select("node", "doc_id", "size", "text_crc32", "group", "n", F.when(F.col("group").isNotNull(), item).alias("item")), "grouped")
+    limit = total // (shards * LARGE_PARTS)
+    grouped = grouped_equals(nodes, target, limit, work) if links is None else grouped_links(nodes, links, target, work)
+    item = F.when(F.col("n") > limit, F.col("group")).otherwise(bin_of(limit) * shards + F.col("label"))  # below 0 for bins
+    grouped = work.save(grouped.select("node", "doc_id", "size", "text_crc32", "group", "n", "label", F.when(F.col("group").isNotNull(), item).alias("item")), "grouped")
     linked = grouped.where(F.col("item").isNotNull())
-    # At most shards x LARGE_PARTS large groups and the bins.
-    sizes = {r["item"]: r["n"] for r in linked.groupBy("item").agg(F.count("*").alias("n")).collect()}
-    ranges = packed(sizes, target)
+    # At most shards x LARGE_PARTS large groups and the bins of each shard.
+    items = linked.groupBy("item").agg(F.count("*").alias("n"), F.min("label").alias("label")).collect()
+    sizes = {r["item"]: r["n"] for r in items}
+    ranges = min(packed(sizes, target, {r["item"]: r["label"] for r in items}), packed(sizes, target), key=len)
     room = dict(target)
     for _, shard, first, last in ranges:
         room[shard] -= last - first

@@ -294,6 +294,40 @@ def test_groups_below_a_shard_are_whole_and_partitions_do_not_matter(spark):
     assert results[0] == results[1]
 
 
+def test_groups_come_to_where_most_of_their_rows_began(spark):
+    """With room in every shard, propagation and not the order of sizes decides the shard; so also for given links."""
+    texts = [f"g{k % 30}" for k in range(270)] + [f"t{k}" for k in range(1730)]
+    frame = docs(spark, texts)
+    nodes = sharding.facts(frame, sharding.Workspace(spark, "test")).withColumn("begin", sharding.begins(8)).collect()
+    node = {r["doc_id"]: r["node"] for r in nodes}
+    begun, clique = collections.defaultdict(collections.Counter), collections.defaultdict(list)
+    for r in nodes:
+        if r["doc_id"] < 270:
+            begun[texts[r["doc_id"]]][r["begin"]] += 1
+            clique[texts[r["doc_id"]]].append(node[r["doc_id"]])
+    links = spark.createDataFrame([(a, b) for c in clique.values() for a in c for b in c if a < b], "a long, b long")
+    for given in (None, links):
+        came = collections.defaultdict(set)
+        for r in sharding.assign(frame, 8, given).collect():
+            if r["doc_id"] < 270:
+                came[texts[r["doc_id"]]].add(r["shard"])
+        assert all(len(s) == 1 for s in came.values())
+        follow = sum(begun[t][next(iter(s))] == max(begun[t].values()) for t, s in came.items())
+        assert follow == 30 if given is None else follow >= 20, follow
+
+
+def test_rounds_over_counts_keep_the_quotas(spark):
+    work = sharding.Workspace(spark, "test")
+    votes = [(0, 6, [4, 2, 0]), (10, 4, [0, 3, 1]), (20, 5, [2, 1, 2]), (30, 3, [0, 1, 2])]
+    rows = spark.createDataFrame(votes, "group long, n long, votes array<long>")
+    for spare in (0, 1, 9):
+        target = {s: sum(v[s] for _, _, v in votes) + spare for s in range(3)}
+        after = {r["group"]: list(r["votes"]) for r in sharding.gathered(rows, target, 0, work).collect()}
+        assert all(sum(after[g]) == n for g, n, _ in votes) and set(after) == {g for g, _, _ in votes}
+        assert sum(x > 0 for v in after.values() for x in v) <= sum(x > 0 for _, _, v in votes for x in v)
+    assert all(max(v) == sum(v) for v in after.values())  # with room for all, every group is whole
+
+
 def test_links_inside_a_group_over_one_shard(spark):
     """A ring of 40 cliques: one component, which the rounds must cut between cliques and not through them."""
     frame = docs(spark, [f"t {k}" for k in range(400)]).repartition(1).sortWithinPartitions("doc_id")
