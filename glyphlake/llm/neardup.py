@@ -167,12 +167,15 @@ def starred(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return members.join(buckets.select("band", "first"), "band").where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def group(docs: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs; linked where 100 * intersection >= percent * union."""
+def group(docs: DataFrame, shingle: int, percent: int = 80, work: Workspace | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs; linked where 100 * intersection >= percent * union.
+
+    The result reads from tables in work.
+    """
     if dict(docs.dtypes)["doc_id"] not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("doc_id must be of an integer type")
     share = Fraction(percent, 100)
-    work = Workspace(docs.sparkSession, "neardup")
+    work = work or Workspace(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_sets = work.save(sets(docs, shingle), "sets")
     with_words = all_sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -241,7 +244,10 @@ def keep_first(docs: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
     spark, rank = docs.sparkSession, "_rank"
     while rank in docs.columns:
         rank += "_"
-    first = Workspace(spark, "keep").save(group(docs, shingle, percent).where("kept and doc_id is not null").select("doc_id").distinct(), "first")
+    grouping = Workspace(spark, "neardup")
+    first = Workspace(spark, "keep").save(group(docs, shingle, percent, grouping).where("kept and doc_id is not null").select("doc_id").distinct(), "first")
+    grouping.clear()
+    grouping.release()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     one = docs.join(first, "doc_id", "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
     return one.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)

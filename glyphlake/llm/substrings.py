@@ -280,6 +280,7 @@ def spans(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     rows = docs.withColumns(dict(zip(("k1", "k2"), key_columns())))
     every = work.save(stretches(rows, window), "stretches")
     again = work.save(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "again")
+    work.release()  # what counting dealt out goes before all stretches are dealt again
     live = work.save(every.join(again, "anchor", "left_semi"), "live")
     work.drop(every, again)
     work.release()

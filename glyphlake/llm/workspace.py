@@ -47,6 +47,11 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(table._glyphlake_path)
             path.getFileSystem(conf).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables written so far; nothing may read them any more."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs now rather than at some later collection."""
         gc.collect()

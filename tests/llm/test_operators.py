@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import zlib
 
@@ -408,6 +409,15 @@ def test_blocks_of_a_large_cluster_give_the_same_groups(spark, monkeypatch):
     assert [found[i]["component_id"] for i in range(len(texts))] == expected_groups(texts, 4)[0]
 
 
+def test_keep_first_leaves_only_the_ids_that_it_reads(spark):
+    """What grouping wrote goes before the next stage of a pipeline writes its own."""
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.glob("*"))
+    kept = neardup.keep_first(docs(spark, ["a b c d e f", "a b c d e f", "g h i j k l", None]), 5)
+    assert [p.name.split("-")[0] for p in set(root.glob("*")) - before] == ["keep"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+
+
 def test_keep_first_with_null_and_repeated_ids(spark):
     one = near_copies(4, 1, 50, 0)[0]
     rows = [(None, one, 1), (None, one, 2), (5, one, 3), (5, one, 4), (9, one, 5), (7, "other words here now", 6)]
