@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphlake.functions import textfn as X
-from glyphlake.sources import schemas
+from glyphlake.sources import pagefiles, schemas
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -43,6 +43,8 @@ def page_texts(spark: SparkSession, folder: str, pages: list[int] | None = None)
 
 def page_folder(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, page, text) of what sinks.page_texts writes."""
+    if pagefiles.is_local(spark, path):
+        return pagefiles.read(spark, path).withColumn("page", F.col("page").cast("int"))
     found = spark.read.schema("value string, doc_id string, page int").text(path, wholetext=True)
     return found.select("doc_id", "page", F.col("value").alias("text"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphlake.functions.textfn import newline_at_end
+from glyphlake.sources import pagefiles
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -35,8 +36,11 @@ def raw_outputs(df: DataFrame, path: str) -> None:
 
 def page_texts(df: DataFrame, path: str) -> None:
     """One text file a page, by document, with a line end at its end."""
-    line = F.regexp_replace(newline_at_end(F.coalesce("text", F.lit(""))), r"\n\z", "")  # the writer ends it again
-    df.select("doc_id", "page", line.alias("text")).repartition("doc_id", "page").write.mode("overwrite").partitionBy("doc_id", "page").text(path)
+    pages = pagefiles.by_page(df.select("doc_id", "page", newline_at_end(F.coalesce("text", F.lit(""))).alias("text")))
+    if pagefiles.is_local(df.sparkSession, path):
+        return pagefiles.write(pages, path)
+    line = F.regexp_replace("text", r"\n\z", "")  # the writer ends it again
+    pages.withColumn("text", line).write.mode("overwrite").partitionBy("doc_id", "page").text(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:

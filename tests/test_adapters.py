@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphlake.functions import textfn as X
 from glyphlake.functions.udfs import call_image_model
 from glyphlake.operators import decode, lexicon, ranking, scoring, triage
-from glyphlake.sources import adapters, readers, sinks
+from glyphlake.sources import adapters, pagefiles, readers, sinks
 
 
 def stand_in():
@@ -132,6 +132,53 @@ def test_page_files_keep_their_text(spark, tmp_path):
     assert {r["page"]: r["text"] for r in readers.page_folder(spark, f"file://{tmp_path}/p").collect()} == {1: "a\nb\n", 2: "c\n", 3: "\n", 4: "\n"}
 
 
+def test_page_files_cost_one_file_and_no_task_each(spark, tmp_path):
+    rows = spark.range(700).select((F.col("id") % 90).alias("doc_id"), F.expr("int(id div 90)").alias("page"), F.concat(F.lit("t"), "id").alias("text"))
+    sinks.page_texts(rows, f"file://{tmp_path}/p")
+    folders = [d for d in (tmp_path / "p").glob("doc_id=*/page=*")]
+    assert len(folders) == 700 and all(len(list(d.iterdir())) == 1 for d in folders) and (tmp_path / "p/_SUCCESS").exists()
+    found = readers.page_folder(spark, f"file://{tmp_path}/p")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((str(k % 90), k // 90, f"t{k}\n") for k in range(700))
+
+
+ODD = ["a/b=c%", "..", "é\n\t", "__HIVE", "a b", "{x}[^]'\"#*?:\\\x7f"]
+
+
+def test_page_files_of_odd_names_and_repeated_pages(spark, tmp_path):
+    rows = [(d, p, f"{d}{p}") for d in ODD for p in (-1, 0, 7)] + [(None, 1, "b"), ("", 1, "a\n"), (pagefiles.NONE, 1, None), ("d", None, "x"), ("d", 2, "two"), ("d", 2, "again\n")]
+    df, at = spark.createDataFrame(rows, "doc_id string, page int, text string"), f"file://{tmp_path}/p"
+    sinks.page_texts(df, at)
+    found = sorted((r["doc_id"] or "", -9 if r["page"] is None else r["page"], r["text"]) for r in readers.page_folder(spark, at).collect())
+    assert found == sorted([(d, p, f"{d}{p}\n") for d in ODD for p in (-1, 0, 7)] + [("", 1, "\na\nb\n"), ("d", -9, "x\n"), ("d", 2, "again\ntwo\n")])
+    # Java finds no names beyond ASCII where the locale is POSIX.
+    spark_reads = spark.read.schema("value string, doc_id string, page int").text(at, wholetext=True).where("doc_id is null or doc_id not like 'é%'").collect()
+    assert sorted((r["doc_id"] or "", -9 if r["page"] is None else r["page"], r["value"]) for r in spark_reads) == [r for r in found if r[0] != ODD[2]]
+
+
+def test_page_files_replace_what_was_there_when_all_are_written(spark, tmp_path):
+    def rows(*pages):
+        return spark.createDataFrame([("d", p, f"t{p}") for p in pages], "doc_id string, page int, text string")
+
+    at = f"file://{tmp_path}/p"
+    sinks.page_texts(rows(1, 2), at)
+    with pytest.raises(Exception, match="stop"):
+        sinks.page_texts(rows(1, 3).withColumn("text", F.when(F.col("page") == 3, F.raise_error(F.lit("stop"))).otherwise("new")), at)
+    assert sorted(r["text"] for r in readers.page_folder(spark, at).collect()) == ["t1\n", "t2\n"]
+    sinks.page_texts(rows(3), at)
+    assert [tuple(r) for r in readers.page_folder(spark, at).collect()] == [("d", 3, "t3\n")]
+    sinks.page_texts(rows(), at)
+    assert readers.page_folder(spark, at).collect() == [] and [p.name for p in tmp_path.iterdir()] == ["p"]
+
+
+def test_page_files_in_another_file_system(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pages.link./in", f"file://{tmp_path}")
+    rows = spark.createDataFrame([("d/e", 1, "a"), ("d/e", 2, None), (None, 3, "c\n")], "doc_id string, page int, text string")
+    sinks.page_texts(rows, "viewfs://pages/in/p")
+    for at in ("viewfs://pages/in/p", f"file://{tmp_path}/p"):
+        assert {(r["doc_id"], r["page"], r["text"]) for r in readers.page_folder(spark, at).collect()} == {("d/e", 1, "a\n"), ("d/e", 2, "\n"), (None, 3, "c\n")}
+
+
 def test_numbers_within_groups(spark):
     rows = spark.createDataFrame([("a", k) for k in range(50)] + [(None, k) for k in range(7)] + [("b", 3)], "g string, v int").repartition(6)
     found = ranking.group_index(rows, ["g"], ["v"], "n").collect()
